@@ -25,9 +25,9 @@ def query(name: str, oracle: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round doubles to 6 digits so that summation order does not show."""
+    """Round doubles so that neither summation order nor exact halves show."""
     return df.select(*[
-        F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        F.round(F.col(f.name) + 1e-9, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields])
 
 

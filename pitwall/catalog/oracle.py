@@ -34,7 +34,7 @@ def sql(final: str, *needs: str) -> str:
 
 
 def r6(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in cols)
 
 
 step("totals", """
@@ -165,5 +165,5 @@ def metric_columns(suffixes=tuple(ROUNDS)) -> str:
         out.append(f"{SEASONS}_{k}")
         for m in METRICS:
             c = f"{m.name}_{k}"
-            out.append(f"round({c}, 6) AS {c}" if m.kind == "mean" else c)
+            out.append(f"round({c} + 1e-9, 6) AS {c}" if m.kind == "mean" else c)
     return ", ".join(out)

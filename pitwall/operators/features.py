@@ -155,7 +155,7 @@ def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
     rounds; ``weighting="round"`` counts each session once.
     """
     dates = small(race_dates(results))
-    partials = _partials(results, entity)
+    partials = _partials(results, entity).repartition(entity)
     names = [c for c in partials.columns if c not in (entity, *ROUND)]
     doubles = _doubles(results)
     weights = [f"w_{k}" for k in windows]
@@ -165,7 +165,6 @@ def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
     else:
         plan = small(_schedule(cut(calendar_slots(results)), dates, windows, weighting))
         marked = partials.join(plan, ROUND)
-    marked = marked.repartition(entity)
 
     # Running sums of all partials, one series per (entrant, window).
     turns = ", ".join(f"named_struct('k', '{k}', 'w', w_{k})" for k in windows)
