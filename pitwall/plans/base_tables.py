@@ -148,54 +148,58 @@ def trends() -> dict[str, Column]:
     return out
 
 
-def _profile(df: DataFrame) -> DataFrame:
-    """Defaults and derived columns shared by both departure tables."""
+# The few features the profile is computed from. Only these go through its joins.
+_USED = [f"{c}_{k}" for c in ("avg_position", "avg_grid", "avg_overtakes", "qtd_sessions", "qtd_wins",
+                              "qtd_podiums", "qtd_finished") for k in ("last10", "life")] + ["qtd_seasons_life"]
+
+
+def _profile(df: DataFrame, features: DataFrame) -> DataFrame:
+    """Defaults and derived columns of both departure tables, beside all features."""
     never = F.col("qtd_seasons_life") + 1
-    return (
-        df.withColumns(trends())
-        .withColumns({
-            "driver_age": career.age(F.col("date_of_birth"), F.col("dt_ref")),
-            "seasons_since_last_win": F.coalesce(F.col("year") - F.col("last_win_year"), never),
-            "seasons_since_last_podium": F.coalesce(F.col("year") - F.col("last_podium_year"), never),
-        })
-        .fillna(0.5, ["team_points_share"])
-        .fillna(0, ["teammate_position_gap", "teammate_grid_gap", "season_dnf_rate", "season_points_current"])
-        .fillna(1, ["team_tenure_years", "career_distinct_teams"])
-        .drop("date_of_birth", "last_win_year", "last_podium_year", "teamid", "year")
-    )
+    out = df.withColumns({
+        **trends(),
+        "driver_age": career.age(F.col("date_of_birth"), F.col("dt_ref")),
+        "seasons_since_last_win": F.coalesce(F.col("year") - F.col("last_win_year"), never),
+        "seasons_since_last_podium": F.coalesce(F.col("year") - F.col("last_podium_year"), never),
+        "team_points_share": F.coalesce("team_points_share", F.lit(0.5)),
+        **{c: F.coalesce(c, F.lit(0.0)) for c in ("teammate_position_gap", "teammate_grid_gap", "season_dnf_rate")},
+        "season_points_current": F.coalesce("season_points_current", F.lit(0)),
+        **{c: F.coalesce(c, F.lit(1)) for c in ("team_tenure_years", "career_distinct_teams")},
+    }).drop("date_of_birth", "last_win_year", "last_podium_year", "teamid", "year", *_USED)
+    return features.join(out, ["dt_ref", "driverid"])
 
 
 def departures(features: DataFrame, results: DataFrame, births: DataFrame, as_of_year: int,
                since: str = "2000-01-01", on_transfer: str = "fanout") -> DataFrame:
     """Closed seasons: one snapshot per entrant at its last session of the year."""
+    features = features.where(F.col("dt_ref") >= F.lit(since).cast("date"))
     end = career.last_session(results).where(F.col("year") < as_of_year)
     key = ["driverid", "year"]
     team = career.season_team(results).join(career.tenure(results), ["driverid", "teamid", "year"], "left")
     return _profile(
-        features.where(F.col("dt_ref") >= F.lit(since).cast("date"))
+        features.select("dt_ref", "driverid", *_USED)
         .join(end, ["driverid", "dt_ref"])
         .join(career.departure_label(results), key)
         .join(career.teammate_gap(results, on_transfer), key, "left")
         .join(team, key, "left")
         .join(births, "driverid", "left")
         .join(career.career_teams(results), key, "left")
-        .join(career.last_achievement(results), key, "left"))
+        .join(career.last_achievement(results), key, "left"), features)
 
 
 def departures_inseason(features: DataFrame, results: DataFrame, births: DataFrame,
                         first_year: int = 2000) -> DataFrame:
     """Every active entrant at every race date; the open season has no label."""
     cal = st.race_calendar(results).where(F.col("year") >= first_year)
-    cal = cal.withColumn("season_fraction", st.season_fraction())
+    cal = small(cal.withColumn("season_fraction", st.season_fraction()))
     key = ["dt_ref", "driverid"]
-    year_of = small(cal.select("dt_ref", "year"))
-    team = (career.current_team(results).join(year_of, "dt_ref")
+    team = (career.current_team(results).join(cal.select("dt_ref", "year"), "dt_ref")
             .join(career.tenure(results), ["driverid", "teamid", "year"], "left").drop("year"))
     return _profile(
-        features.join(small(cal), "dt_ref")
+        features.select(*key, *_USED).join(cal, "dt_ref")
         .join(career.departure_label(results, open_season=True), ["driverid", "year"], "left")
         .join(career.teammate_gap_inseason(results), key, "left")
         .join(team, key, "left")
         .join(births, "driverid", "left")
         .join(career.career_teams_inseason(results), key, "left")
-        .join(career.last_achievement_inseason(results), key, "left"))
+        .join(career.last_achievement_inseason(results), key, "left"), features)
