@@ -27,6 +27,8 @@ def _collect(names, seen):
 
 def sql(final: str, *needs: str) -> str:
     order = _collect(needs, [])
+    if final.lstrip().startswith("WITH"):
+        final = f"SELECT * FROM ({final})"
     if not order:
         return final
     parts = ",\n".join(f"{n} AS MATERIALIZED ({_STEPS[n][1].strip()})" for n in order)

@@ -1 +1,53 @@
+"""Streaming ingestion, replayed to completion over the event table."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from pitwall.catalog import bronze, query, rounded  # noqa: F401
+from pitwall.streaming import ingest as st
+
+
+def _fresh(t, name):
+    """A new output and checkpoint per run: a stream must not see an older one's files."""
+    run = uuid.uuid4().hex
+    return t.lake.path(f"{name}_{run}"), t.lake.path(f"{name}_{run}_state")
+
+
+def _events(t):
+    return st.new_files(t.spark, t.sf_dir, t.table("events").schema, "events*.parquet")
+
+
+@query("n1_ingest_stream", "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n, round(SUM(value), 2) AS total FROM events GROUP BY 1")
+def ingested(t):
+    """Started twice: the second start finds nothing new."""
+    path, state = _fresh(t, "ingested")
+    for _ in range(2):
+        st.ingest(_events(t), path, state).awaitTermination()
+    return t.spark.read.parquet(path).groupBy(F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("n2_latest_per_key_stream", """
+    SELECT CAST(ts AS DATE) AS day, user_id, event_type, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id, event_type ORDER BY ts DESC) = 1""")
+def newest_events(t):
+    path, state = _fresh(t, "newest")
+    stream = _events(t).withColumn("day", F.to_date("ts"))
+    st.keep_newest(stream, path, state, ["day", "user_id", "event_type"], "ts", "day").awaitTermination()
+    # A second pass with fresh state replays every batch onto the same table.
+    st.keep_newest(stream, path, state + "_again", ["day", "user_id", "event_type"], "ts", "day").awaitTermination()
+    return t.spark.read.parquet(path).select("day", "user_id", "event_type", "event_id")
+
+
+@query("n3_weather_stream", """
+    SELECT CAST(ts AS DATE) AS day, round(AVG(value) + 1e-9, 6) AS air_temp, MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS rainfall,
+           COUNT(*) AS readings
+    FROM events GROUP BY 1 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 6 HOURS FROM events)""")
+def weather(t):
+    path, state = _fresh(t, "weather")
+    stream = _events(t).withColumn("rain", F.col("event_type") == "error")
+    st.ingest(st.session_weather_stream(stream, "ts", "value", "rain"), path, state).awaitTermination()
+    return rounded(t.spark.read.parquet(path))

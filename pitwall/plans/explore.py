@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitwall.functions.metrics import GROUPS
+from pitwall.functions.scalars import lap_time, race_time, signed
 from pitwall.operators import career
 from pitwall.operators.features import scoring
 from pitwall.operators.ordering import latest, quantiles, row_number, running, top_k
@@ -160,12 +161,6 @@ def team_points(results: DataFrame, years: tuple[int, int]) -> DataFrame:
             .groupBy("year", "team_name").agg(F.sum("points").alias("points")))
 
 
-def signed(delta: Column) -> Column:
-    """+n for a gain, the plain number otherwise, empty for NULL."""
-    text = delta.cast("int").cast("string")
-    return F.coalesce(F.when(delta > 0, F.concat(F.lit("+"), text)).otherwise(text), F.lit(""))
-
-
 def grid_vs_finish(results: DataFrame, year: int) -> DataFrame:
     gain = F.col("grid_position") - F.col("position")
     return (races(results).where(F.col("year") == year).dropna(subset=["grid_position", "position"])
@@ -253,3 +248,23 @@ def season_list(df: DataFrame, current_year: int) -> DataFrame:
     """Seasons in the table and the current one, newest first."""
     now = df.sparkSession.createDataFrame([(current_year,)], "year int")
     return df.select(F.year("dt_ref").alias("year")).unionByName(now).distinct().orderBy(F.desc("year"))
+
+
+# Fixed values: (source, heading) of the event result table.
+RESULT_COLUMNS = [
+    ("position", "Pos"), ("full_name", "Driver"), ("team_name", "Team"), ("quali_position", "Quali"),
+    ("grid_position", "Grid"), ("change", "+/-"), ("quali_text", "Quali Time"),
+    ("race_text", "Race Time"), ("points", "Points"), ("status", "Status"),
+]
+
+
+def result_table(event: DataFrame) -> DataFrame:
+    """Display form of one event: whole numbers, formatted times, headings."""
+    best = event.agg(F.min("position")).first()[0]
+    out = event.withColumns({
+        "change": signed("positions_gained"),
+        "quali_text": lap_time("best_quali_time"),
+        "race_text": race_time("race_time", F.col("position") == F.lit(best)),
+        **{c: F.col(c).cast("bigint") for c in ("position", "grid_position", "quali_position", "points")},
+    })
+    return out.select(*[F.col(c).alias(h) for c, h in RESULT_COLUMNS]).orderBy("Pos")

@@ -131,6 +131,48 @@ class Testbed:
                 "mode": F.lit("Race"), "round_number": F.dayofyear("event_date")})
         return self.lake.layer("transfers", build)
 
+    @property
+    def raw(self) -> DataFrame:
+        """Raw session rows: unclean ids, odd positions, some sessions collected twice."""
+        def build():
+            r = self.results
+            place, key = F.col("position").cast("bigint"), F.col("driverid")
+
+            def ns(start, gap, upto):
+                return F.when((F.col("mode") == "Qualifying") & (place <= upto),
+                              F.lit(start) + place * gap).cast("bigint")
+            first = r.select(
+                key.cast("string").alias("DriverNumber"), F.concat(F.lit("B "), "full_name").alias("BroadcastName"),
+                F.col("full_name").alias("FullName"), F.upper(F.substring("full_name", 1, 3)).alias("Abbreviation"),
+                F.when(key % 29 == 7, F.lit(None)).when(key % 23 == 5, "nan")
+                .otherwise(F.concat(F.lit("d"), key)).alias("DriverId"),
+                F.col("team_name").alias("TeamName"),
+                F.when(F.col("teamid") % 5 == 0, "nan").otherwise(F.upper("team_color")).alias("TeamColor"),
+                F.concat(F.lit("t"), "teamid").alias("TeamId"),
+                F.col("position").cast("string").alias("ClassifiedPosition"),
+                F.when(F.col("is_finished") == 1, "Finished").when(key % 3 == 0, "+1 Lap").otherwise("Retired").alias("Status"),
+                F.when(key % 11 != 0, F.col("grid_position") + (key % 2) * 0.5).alias("GridPosition"),
+                F.when(key % 13 != 0, place.cast("double")).alias("Position"),
+                F.when(key % 17 != 0, F.col("points").cast("double")).alias("Points"),
+                F.when(F.col("mode") == "Race", F.when(place == 1, F.lit(5_400_250_000_000))
+                       .otherwise(place * 1_370_000_000)).cast("bigint").alias("Time"),
+                ns(80_000_000_000, 137_000_000, 10_000_000).alias("Q1"),
+                ns(79_000_000_000, 130_000_000, 15).alias("Q2"),
+                ns(58_500_000_000, 120_000_000, 10).alias("Q3"),
+                F.col("year").alias("Year"), F.col("event_date").cast("timestamp").alias("Date"),
+                F.col("mode").alias("Mode"), F.col("round_number").alias("RoundNumber"),
+                F.concat(F.lit("Grand "), "event_name").alias("OfficialEventName"),
+                F.col("event_name").alias("EventName"), F.col("country").alias("Country"),
+                F.col("location").alias("Location"),
+                F.col("air_temp").alias("AirTemp"), F.col("track_temp").alias("TrackTemp"),
+                F.col("humidity").alias("Humidity"), F.col("pressure").alias("Pressure"),
+                F.col("wind_speed").alias("WindSpeed"), F.col("wind_direction").alias("WindDirection"),
+                F.when(F.col("year") >= FIRST_WEATHER_YEAR, F.col("rainfall")).alias("Rainfall"))
+            again = first.where("RoundNumber = 6").withColumns({
+                "Date": F.expr("Date + INTERVAL 12 HOURS"), "Position": F.col("Position") + 1})
+            return first.unionByName(again)
+        return self.lake.layer("raw", build)
+
     # -- labels -----------------------------------------------------------
     def _season_best(self, key: str) -> DataFrame:
         totals = self.results.groupBy("year", key).agg(F.sum("points").alias("points"))
