@@ -358,8 +358,8 @@ query("g2_conditional_count", sql(f"""
     SELECT driverid, COUNT(*) FILTER (WHERE position = 1) AS wins, COUNT(*) FILTER (WHERE position <= 3 AND mode = 'Race') AS race_podiums,
            COUNT(*) FILTER (WHERE grid_position = 1 AND position = 1) AS pole_wins FROM results GROUP BY ALL""", "results"),
     )(lambda t: t.results.groupBy("driverid").agg(
-        ex.count_if(ex.WON).alias("wins"), ex.count_if((F.col("position") <= 3) & (F.col("mode") == "Race")).alias("race_podiums"),
-        ex.count_if((F.col("grid_position") == 1) & ex.WON).alias("pole_wins")))
+        ex.count_if(ex.won()).alias("wins"), ex.count_if((F.col("position") <= 3) & (F.col("mode") == "Race")).alias("race_podiums"),
+        ex.count_if((F.col("grid_position") == 1) & ex.won()).alias("pole_wins")))
 query("g3_conditional_sum_avg", sql(f"""
     SELECT driverid, CAST(COALESCE(SUM(points) FILTER (WHERE mode = 'Race'), 0) AS BIGINT) AS race_points,
            round(AVG(position) FILTER (WHERE mode = 'Sprint') + 1e-9, 6) AS sprint_position,

@@ -50,12 +50,8 @@ query("m6_one_step_forecast", sql(f"""
                                  F.round(fc.linear_trend(), 2).alias("trend_forecast")))
 
 
-def _mean(block):
-    return block.astype("float64").mean(axis=1)
-
-
 query("m6_model_slot", sql("SELECT driverid, dt_ref, round(list_avg(context), 2) AS forecast FROM ctx", "ctx"))(
-    lambda t: contexts(t).select("driverid", "dt_ref", F.round(fc.model_forecast(_mean)("context"), 2).alias("forecast")))
+    lambda t: contexts(t).select("driverid", "dt_ref", F.round(fc.model_forecast(lambda block: block.astype('float64').mean(axis=1))("context"), 2).alias("forecast")))
 query("m5_softmax_per_date", sql("""
     SELECT driverid, dt_ref, round(exp(m - top) / SUM(exp(m - top)) OVER (PARTITION BY dt_ref), 4) AS prob
     FROM (SELECT driverid, dt_ref, m, MAX(m) OVER (PARTITION BY dt_ref) AS top FROM (
@@ -85,7 +81,7 @@ FROM (SELECT driverid, dt_ref, list(total_points_last10 / 1e7) OVER (PARTITION B
 query("m7_evaluate_forecast", sql("""
     WITH p AS (SELECT fl_champion AS y, CASE WHEN year(dt_ref) < 2000 THEN 'train' ELSE 'oot' END AS split,
                       exp(m) / SUM(exp(m)) OVER (PARTITION BY dt_ref) AS p
-               FROM t3 JOIN ctx3 USING (driverid, dt_ref))
+               FROM t3 JOIN ctx3 USING (driverid, dt_ref) WHERE year(dt_ref) <= 2000)
     SELECT q.split, round(AVG(CASE WHEN q.p > n.p THEN 1.0 WHEN q.p = n.p THEN 0.5 ELSE 0.0 END), 3) AS roc_auc
     FROM p q JOIN p n ON n.split = q.split AND q.y = 1 AND n.y = 0 GROUP BY q.split""", "t3", "ctx3"))(
     lambda t: fc.evaluate_forecast(t.abt_champions_inseason, "champion", 1e-7).select("split", F.round("roc_auc", 3).alias("roc_auc")))

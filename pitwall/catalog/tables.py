@@ -229,3 +229,14 @@ query("w1_latest_per_key", sql("""
     SELECT driverid, year(dt_ref) AS season, dt_ref, qtd_sessions_life FROM season_ends""", "season_ends"),
     )(lambda t: bt.season_end(t.features).select(
         "driverid", F.col("stats_year").cast("bigint").alias("season"), "dt_ref", "qtd_sessions_life"))
+
+step("clinched", """
+SELECT dt_ref, leader_gap, max_remaining_points, CASE WHEN leader_gap > max_remaining_points THEN 1 ELSE 0 END AS is_clinched
+FROM driver_leaders JOIN driver_remaining USING (year, dt_ref)""", "driver_leaders", "driver_remaining")
+query("s10_abt_with_clinch", sql("""
+    SELECT t3.dt_ref, driverid, fl_champion, leader_gap, max_remaining_points, is_clinched
+    FROM t3 JOIN clinched USING (dt_ref)""", "t3", "clinched"),
+    )(lambda t: bt.champions_inseason(
+        t.features, t.results, t.driver_standings, t.champions, since="1996-01-01",
+        clinch=st.clinch(st.leader_gap(t.driver_running, "driverid"), st.remaining_points(t.results, "driverid")).drop("leader"))
+    .select("dt_ref", "driverid", "fl_champion", "leader_gap", "max_remaining_points", "is_clinched"))

@@ -212,13 +212,23 @@ def latest_names(results: DataFrame, key: str = ID,
     return latest(results.select(key, *cols, "event_date", "round_number", "mode"), [key], order).select(key, *cols)
 
 
-def career_to_date(results: DataFrame) -> DataFrame:
-    """Points and sessions before each race date, for everyone seen so far."""
-    per = scoring(results).groupBy(ID, "event_date").agg(
-        F.sum("points").alias("career_points"), F.count(F.lit(1)).alias("career_sessions"))
-    cols = ["career_points", "career_sessions"]
+def _totals_before(sessions: DataFrame, results: DataFrame, points: str, count: str) -> DataFrame:
+    per = sessions.groupBy(ID, "event_date").agg(F.sum("points").alias(points), F.count(F.lit(1)).alias(count))
     upto = W.partitionBy(ID).orderBy("event_date").rowsBetween(W.unboundedPreceding, 0)
-    return _hold(per.withColumns({c: F.sum(c).over(upto) for c in cols}), results, cols)
+    return _hold(per.withColumns({c: F.sum(c).over(upto) for c in (points, count)}), results, [points, count])
+
+
+def career_to_date(results: DataFrame) -> DataFrame:
+    """Race and sprint points before each race date, for everyone seen so far."""
+    return _totals_before(scoring(results), results, "career_points", "career_sessions")
+
+
+def past_totals(results: DataFrame) -> DataFrame:
+    """Points and sessions of any mode before each race date.
+
+    Stands for joining each date with all earlier rows and adding them up.
+    """
+    return _totals_before(results, results, "points", "sessions")
 
 
 def team_history(results: DataFrame) -> DataFrame:

@@ -219,3 +219,26 @@ def join_windows(stores: list[DataFrame], keys: list[str]) -> DataFrame:
     for s in stores[1:]:
         out = out.join(s, keys)
     return out
+
+
+def recent_slots(results: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` slots before each race date, newest first.
+
+    Slots are numbered once; each date then names the numbers it wants, so the
+    dates are never compared with all slots.
+    """
+    order = W.orderBy("event_date", "year", "round_number")
+    slots = cut(calendar_slots(results)).withColumn("i", F.row_number().over(order))
+    upto = slots.groupBy("event_date").agg(F.max("i").alias("i"))
+    before = W.orderBy("event_date").rowsBetween(W.unboundedPreceding, -1)
+    upto = upto.select(F.col("event_date").alias("dt_ref"), F.max("i").over(before).alias("m"))
+    wanted = small(race_dates(results)).join(upto.where("m IS NOT NULL"), "dt_ref").select(
+        "dt_ref", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - n + 1), F.col("m"))).alias("i"))
+    return wanted.join(slots, "i").select(
+        "dt_ref", *ROUND, (F.col("m") - F.col("i") + 1).alias("back"))
+
+
+def slot_weights(results: DataFrame, n: int) -> DataFrame:
+    """How often each round counts among the last ``n`` slots of each date."""
+    return recent_slots(results, n).groupBy("dt_ref", "year", "round_number").agg(
+        F.count(F.lit(1)).alias("weight"))

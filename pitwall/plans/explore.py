@@ -12,7 +12,10 @@ from pitwall.operators.ordering import latest, quantiles, row_number, running, t
 from pitwall.plans.lake import small
 
 PERSON = ["driverid", "full_name"]
-WON = F.col("position") == 1
+
+
+def won() -> Column:
+    return F.col("position") == 1
 
 
 def races(results: DataFrame) -> DataFrame:
@@ -65,14 +68,14 @@ def circuit_weather(results: DataFrame) -> DataFrame:
 
 
 def team_wins(results: DataFrame) -> DataFrame:
-    return races(results).groupBy("year", "team_name").agg(count_if(WON).alias("wins")).where("wins > 0")
+    return races(results).groupBy("year", "team_name").agg(count_if(won()).alias("wins")).where("wins > 0")
 
 
 def pole_conversion(results: DataFrame, min_poles: int = 3) -> DataFrame:
     pole = F.col("grid_position") == 1
     out = races(results).groupBy(*PERSON).agg(
-        count_if(pole).alias("poles"), count_if(pole & WON).alias("pole_wins"),
-        pct(count_if(pole & WON), count_if(pole), 1).alias("conversion_pct"))
+        count_if(pole).alias("poles"), count_if(pole & won()).alias("pole_wins"),
+        pct(count_if(pole & won()), count_if(pole), 1).alias("conversion_pct"))
     return out.where(F.col("poles") >= min_poles)
 
 
@@ -152,7 +155,7 @@ def cumulative_win_rate(results: DataFrame) -> DataFrame:
     w = (W.partitionBy("driverid").orderBy("event_date", "round_number")
          .rowsBetween(W.unboundedPreceding, 0))
     out = races(results).select(*PERSON, "event_date", F.count(F.lit(1)).over(w).alias("cum_races"),
-                                F.sum(WON.cast("int")).over(w).alias("cum_wins"))
+                                F.sum(won().cast("int")).over(w).alias("cum_wins"))
     return out.withColumn("win_rate", F.col("cum_wins").cast("double") / F.col("cum_races"))
 
 
@@ -191,7 +194,7 @@ def current_season(results: DataFrame) -> DataFrame:
 def current_standings(results: DataFrame) -> DataFrame:
     per = current_season(results).groupBy(*PERSON, "team_name", "team_color").agg(
         F.sum("points").alias("total_points"), F.count(F.lit(1)).alias("races"),
-        count_if(WON).alias("wins"), count_if(F.col("position") <= 3).alias("podiums"),
+        count_if(won()).alias("wins"), count_if(F.col("position") <= 3).alias("podiums"),
         F.round(F.avg(F.col("position").cast("double")), 1).alias("avg_position"))
     return row_number(per, [], [-F.col("total_points"), F.col("driverid")], "pos")
 

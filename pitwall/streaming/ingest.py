@@ -55,7 +55,8 @@ def keep_newest(stream: DataFrame, path: str, checkpoint: str, key: list[str], a
 def session_weather_stream(stream: DataFrame, at: str, reading: str, rain: str,
                            session: str = "1 day", lateness: str = "6 hours") -> DataFrame:
     """Session means, final once the watermark has passed the session's end."""
-    return (stream.withWatermark(at, lateness).groupBy(F.window(at, session).alias("w"))
+    timed = stream.withColumn(at, F.col(at).cast("timestamp"))
+    return (timed.withWatermark(at, lateness).groupBy(F.window(at, session).alias("w"))
             .agg(F.avg(reading).alias("air_temp"), F.max(F.col(rain).cast("int")).alias("rainfall"),
                  F.count(F.lit(1)).alias("readings"))
             .select(F.to_date("w.start").alias("day"), "air_temp", "rainfall", "readings"))
