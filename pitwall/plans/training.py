@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ from pitwall.functions.scalars import FILL, risk_tier
 from pitwall.operators import evaluation as ev
 from pitwall.operators.career import latest_names
 from pitwall.operators.ordering import latest
+from pitwall.plans.lake import shared_root
 
 # Curated inputs of the three models and of the team explorer.
 CHAMPION_FEATURES = [
@@ -134,9 +136,16 @@ def _ready(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit(c: Candidate, df: DataFrame, features: list[str], target: str, params: dict | None = None,
         stop_on: str | None = None) -> PipelineModel:
-    """Fit with both classes weighing the same."""
+    """Fit with both classes weighing the same.
+
+    The stored copy is returned: it scores rows without the training summary,
+    which refers to the training rows.
+    """
     rows = _ready(df, features).withColumn(target, F.col(target).cast("double"))
-    return estimator(c, features, target, params, stop_on).fit(ev.with_class_weight(rows, target))
+    model = estimator(c, features, target, params, stop_on).fit(ev.with_class_weight(rows, target))
+    path = f"{shared_root(df.sparkSession)}/models/{uuid.uuid4().hex}"
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], name: str = "prob") -> DataFrame:
