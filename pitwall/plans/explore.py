@@ -129,14 +129,27 @@ def leading(df: DataFrame, key: str, by: str, k: int, cols: list[str], descendin
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson matrix in one aggregate; a constant column gives NULL."""
-    def moment(a, b):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-        return F.when(~flat, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    """Pearson matrix over the rows where both are known; a constant gives NULL.
+
+    A first pass finds columns without NULLs; their spread is shared by all pairs.
+    """
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in cols
+                                                  for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    whole = {c for c in cols if stats[f"n_{c}"] == stats["n"]}
+    flat = {c for c in cols if stats[f"lo_{c}"] == stats[f"hi_{c}"]}
+
+    def corr(a, b):
+        if a in flat or b in flat:
+            return F.max(F.lit(None).cast("double"))
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        if a in whole and b in whole:
+            return F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y))
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+        return F.when(~constant, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[moment(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.col(f"c{i}").alias("corr"))
             for i, (a, b) in enumerate(pairs) for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])]
     return one.select(F.inline(F.array(*rows)))
