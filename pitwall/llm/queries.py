@@ -30,6 +30,12 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op6_simhash_groups")
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.simhash import simhash_groups
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
 @query("op9_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.tokenfiles import token_table
