@@ -30,6 +30,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op1_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their log weight and Gumbel key."""
+    from pitwall.llm.quality import resample
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn, weight, key = resample(docs, table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", F.col(weight).alias("log_weight"), F.col(key).alias("gumbel_key"))
+
+
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -63,6 +72,53 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+_SECRETS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p(kind, name, pattern, part, least) AS (VALUES
+    (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 18),
+    (2, 'hex', '[0-9a-f]+', 0, 16),
+    (3, 'secret', '[A-Za-z0-9+/_=-]{24,}', 0, 24),
+    (4, 'endpoint', '[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x00-\x20"''<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}', 0, 7)),
+"""
+_SECRETS += ",\n".join(f"""m{k} AS (
+    SELECT doc_id, {k} AS kind, unnest(range(1, len(m) + 1)) AS i, m, part, gap
+    FROM (SELECT doc_id, regexp_extract_all(text, p{k}) AS m, regexp_extract_all(text, p{k}, {int(k == 0)}) AS part,
+                 string_split_regex(text, p{k}) AS gap
+          FROM d, (SELECT '_P{k}_' AS p{k})))""" for k in range(5))
+_SECRETS += r""",
+a AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3
+      UNION ALL SELECT * FROM m4),
+s AS (SELECT doc_id, kind, part[i] AS part, len(m[i]) AS n,
+             list_sum(list_transform(gap[1:i], lambda x: len(x))) +
+             coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS s FROM a),
+c AS (SELECT doc_id, kind, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM s JOIN p USING (kind)
+      WHERE len(s.part) >= least AND (kind <> 3 OR regexp_matches(s.part, '[0-9]') AND regexp_matches(s.part, '[A-Za-z]'))),
+k AS (SELECT * FROM c WHERE kind < 3
+      OR kind = 3 AND EXISTS (FROM c b WHERE b.doc_id = c.doc_id AND b.kind = 1 AND b.s - c.e <= 200 AND c.s - b.e <= 200)
+                  AND NOT EXISTS (FROM c b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.s < c.e AND b.e > c.s)
+      OR kind = 4 AND EXISTS (FROM c b WHERE b.doc_id = c.doc_id AND b.kind < 2 AND b.s - c.e <= 200 AND c.s - b.e <= 200)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+             count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+             string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+      FROM k JOIN p USING (kind) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+for _k, _p in enumerate((
+        r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{24,}",
+        r"""[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x00-\x20"''<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}""")):
+    _SECRETS = _SECRETS.replace(f"_P{_k}_", _p)
+
+
+@query("op7_linked_secrets", _SECRETS)
+def linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.secrets import find_secrets
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op9_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.tokenfiles import token_table
