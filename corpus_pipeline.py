@@ -1,13 +1,79 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: what a raw corpus goes through before training.
+
+Every stage takes (spark, docs, sf_dir), where docs is what the stage before kept,
+and all but the last return the columns of documents. ``run`` writes each stage as
+Parquet in the shared folder and reads it back, so a lost executor never costs more
+than the tasks of one stage.
+
+1. quality classifier: documents the resampling rejects go
+2. SimHash near-dedup: the document with the least id of each group stays
+3. benchmark decontamination: contaminated documents go
+4. secret scans: reported spans are replaced by a mark
+5. best-fit packing: the rest becomes sequences of at most 4096 tokens
+
+Rows of one doc_id count as one document in stage 2, which keeps the first of them by
+the hash of their texts; so do rows with a null doc_id, which stay only if a group
+has none other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from pitwall.llm.common import stored
+from pitwall.llm.decontaminate import contaminated_out
+from pitwall.llm.packing import pack_documents
+from pitwall.llm.quality import resample
+from pitwall.llm.secrets import redact
+from pitwall.llm.simhash import simhash_groups
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drawn, _, _ = resample(docs, _table(spark, sf_dir, "labels"))
+    return drawn.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(docs, shingle=3, max_bits=2)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
+    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))  # dealt by doc_id, as the join left them
+    kept = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.row_number().over(one).alias("n"))
+    return kept.where("n = 1").select("doc.*")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contaminated_out(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
 
-STAGES: list = []
+# Hashed models, fingerprints and tokenisation have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwall.llm.common import slices, stored, texts_of
@@ -99,16 +98,18 @@ def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _scan(docs: DataFrame, sizes: list[int], k: int, bits: int, bitmap) -> DataFrame:
-    """Each document's words and its fingerprints that the bitmap has."""
+def _scan(sizes: list[int], k: int, bits: int, bitmap):
+    """A column function: a text's number of words and its fingerprints that the bitmap has."""
     struct = pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()), ("grams", pa.string()),
                         ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
+    result = pa.struct([("n_words", pa.int64()), ("prints", pa.list_(struct))])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, row = bitmap.value, TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+    @F.arrow_udf(f"struct<n_words:bigint,prints:array<struct<{_PRINT}>>>")
+    def scan(text: pa.Array) -> pa.Array:
+        has, n_words, found = bitmap.value, [], []
+        for batch in slices(iter([pa.RecordBatch.from_arrays([text], names=["text"])])):
             data, starts, ends, doc, words = _cut(batch)
-            rows, found = None, [[] for _ in range(batch.num_rows)]
+            rows, mine = None, [[] for _ in range(batch.num_rows)]
             for size in sizes:
                 at, h = _selected(words, doc, size, k)
                 place = h % np.uint64(bits)  # bits is a power of two: the same value as pmod of the signed hash
@@ -116,15 +117,13 @@ def _scan(docs: DataFrame, sizes: list[int], k: int, bits: int, bitmap) -> DataF
                 if ok.any():
                     rows = rows or _Prints(data, starts, ends, doc)
                     for p, x in zip(at[ok].tolist(), h[ok].view(np.int64).tolist()):
-                        found[doc[p]].append(rows.row(size, k, p, x))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(row, row + batch.num_rows)),
-                 pa.array(np.bincount(doc, minlength=batch.num_rows).astype(np.int64)),
-                 pa.array(found, pa.list_(struct))], names=["doc_id", "row", "n_words", "prints"])
-            row += batch.num_rows
+                        mine[doc[p]].append(rows.row(size, k, p, x))
+            n_words.append(np.bincount(doc, minlength=batch.num_rows).astype(np.int64))
+            found += mine
+        n = pa.array(np.concatenate(n_words) if n_words else [], pa.int64())
+        return pa.StructArray.from_arrays([n, pa.array(found, result[1].type)], fields=list(result))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        scan, f"doc_id long, row long, n_words long, prints array<struct<{_PRINT}>>")
+    return scan
 
 
 def _equal_words(a: str, b: str) -> Column:
@@ -134,48 +133,76 @@ def _equal_words(a: str, b: str) -> Column:
     return F.when(first == 0, F.size(equal)).otherwise(first - 1)
 
 
+class _Benchmark:
+    """The benchmark's fingerprints, stored, and the scan that looks for them."""
+
+    def __init__(self, items: DataFrame, window: int, k: int):
+        prints = _benchmark_prints(items, window, k).groupBy("size", "hash", "grams", "left", "right").agg(
+            F.collect_set("item_id").alias("items"))
+        self.k, self.prints = k, stored(prints, "benchmark")
+        n, self.bytes = self.prints.agg(F.count("hash"), F.sum(
+            F.length("grams") + F.length(F.concat_ws("", "left", "right")) + 16 * F.size("items") + 64)).first()
+        sizes = sorted(r[0] for r in self.prints.select("size").distinct().collect())  # at most ``window`` of them
+        bits = 1 << min(MAX_BITS, max(12, (32 * n).bit_length()))
+        bitmap = items.sparkSession.sparkContext.broadcast(_bitmap(self.prints, bits))
+        self.scan = _scan(sizes, k, bits, bitmap)
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """``row`` and its hit spans, items and number of hit words, from rows of (row, prints)."""
+        some = rows.where(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.*")
+        side = self.prints.select(
+            "size", "hash", "grams", "items", F.col("left").alias("left_"), F.col("right").alias("right_"))
+        if (self.bytes or 0) <= BROADCAST_BYTES:
+            side = F.broadcast(side)
+        both = some.join(side, ["size", "hash", "grams"]).select(
+            "row", "size", "items", "at", _equal_words("left", "left_").alias("l"),
+            _equal_words("right", "right_").alias("r"), F.least("size", F.lit(self.k)).alias("k"))
+        hit = both.where(F.col("l") + F.col("k") + F.col("r") >= F.col("size")).select(
+            "row", "items", F.struct((F.col("at") - F.col("l")).alias("start"),
+                                     (F.col("at") + F.col("k") + F.col("r")).alias("end")).alias("span"))
+        hit = hit.groupBy("row").agg(
+            F.array_sort(F.collect_set("span")).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        zero = F.lit(0).cast("long")
+        covered = F.aggregate(
+            "spans", F.struct(zero.alias("n"), zero.alias("to")),
+            lambda s, x: F.struct(
+                (s["n"] + F.greatest(zero, x["end"] - F.greatest(x["start"], s["to"]))).alias("n"),
+                F.greatest(s["to"], x["end"]).alias("to")))
+        return hit.select("row", "spans", "items", covered["n"].alias("n_hit"))
+
+
 def contamination_hits(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 7,
                        share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids as strings), spans of hit words, contaminated.
 
     A document is contaminated if it has a hit and its hit words are 1/share of its words or more.
     """
-    spark = docs.sparkSession
-    prints = _benchmark_prints(items, window, k).groupBy("size", "hash", "grams", "left", "right").agg(
-        F.collect_set("item_id").alias("items"))
-    prints = stored(prints, "benchmark")
-    n, size = prints.agg(F.count("hash"), F.sum(
-        F.length("grams") + F.length(F.concat_ws("", "left", "right")) + 16 * F.size("items") + 64)).first()
-    sizes = sorted(r[0] for r in prints.select("size").distinct().collect())
-    bits = 1 << min(MAX_BITS, max(12, (32 * n).bit_length()))
-    bitmap = spark.sparkContext.broadcast(_bitmap(prints, bits))
-
-    rows = stored(_scan(docs, sizes, k, bits, bitmap), "scanned")
-    some = rows.where(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.*")
-    side = prints.select("size", "hash", "grams", "items", F.col("left").alias("left_"), F.col("right").alias("right_"))
-    if (size or 0) <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    both = some.join(side, ["size", "hash", "grams"])
-    grams_ = F.least("size", F.lit(k))
-    both = both.select("row", "size", "items", "at", _equal_words("left", "left_").alias("l"),
-                       _equal_words("right", "right_").alias("r"), grams_.alias("k"))
-    hit = both.where(F.col("l") + F.col("k") + F.col("r") >= F.col("size")).select(
-        "row", "items", F.struct((F.col("at") - F.col("l")).alias("start"),
-                                 (F.col("at") + F.col("k") + F.col("r")).alias("end")).alias("span"))
-    hit = hit.groupBy("row").agg(
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    covered = F.aggregate(
-        "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda s, x: F.struct(
-            (s["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], s["to"]))).alias("n"),
-            F.greatest(s["to"], x["end"]).alias("to")))
-    hit = hit.select("row", "spans", "items", covered["n"].alias("n_hit"))
-    out = rows.select("doc_id", "row", "n_words").join(hit, "row", "left")
+    benchmark = _Benchmark(items, window, k)
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"),
+                       benchmark.scan(F.col("text").cast("string")).alias("scan"))
+    rows = stored(rows, "scanned").select("doc_id", "row", "scan.*")
+    out = rows.select("doc_id", "row", "n_words").join(benchmark.hits(rows), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    none = F.array().cast("array<string>")
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", none).alias("items"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contaminated_out(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 7, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Only rows with a fingerprint in the benchmark's bitmap meet a join.
+    """
+    benchmark = _Benchmark(items, window, k)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       F.monotonically_increasing_id().alias("row"),
+                       benchmark.scan(F.col("text").cast("string")).alias("scan"))
+    rows = stored(rows, "scanned").select("doc", "row", "scan.*")
+    hits = benchmark.hits(rows.select("row", "prints"))
+    bad = rows.where(F.size("prints") > 0).select("row", "n_words").join(hits, "row").where(
+        share * F.col("n_hit") >= F.col("n_words")).select("row")
+    clean = rows.where(F.size("prints") == 0).select("doc.*")
+    return clean.unionByName(rows.where(F.size("prints") > 0).join(bad, "row", "left_anti").select("doc.*"))
