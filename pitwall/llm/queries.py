@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_language_spans")
+def language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.language import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.packing import pack_documents

@@ -58,9 +58,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; equal runs have equal hashes in every batch."""
+    """A 64-bit hash of each run of bytes (or wider units); equal runs have equal hashes in every batch."""
+    values = _VALUE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64)) | np.uint64(1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=total[1:])
+    np.cumsum(values * _power(_BASE, len(data)), out=total[1:])
     back = _power(_INVERSE, len(data) + 1)
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
