@@ -146,3 +146,9 @@ def block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.tokenfiles import token_table
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_repeated_substrings")
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
