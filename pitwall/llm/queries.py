@@ -72,6 +72,12 @@ def winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op5_license_alignment")
+def license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.licenses import notices, scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"), notices(spark))
+
+
 @query("op6_simhash_groups")
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.simhash import simhash_groups
