@@ -98,7 +98,7 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int) -> list[tuple[
     width = 2 * band + 1
     score = np.zeros((len(a) + 1, width + 1), np.int64)  # cell (i, d): a[:i] with b[:i + diagonal + d - band]
     step = np.zeros((len(a) + 1, width + 1), np.int8)
-    best, end = 0, None
+    best, end = (0, 0), None
     for i in range(1, len(a) + 1):
         for d in range(width):
             j = i + diagonal + d - band
@@ -113,8 +113,8 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int) -> list[tuple[
             if d and score[i, d - 1] - 1 > value:  # a word of b left out
                 value, way = score[i, d - 1] - 1, 3
             score[i, d], step[i, d] = value, way
-            if value > best:
-                best, end = value, (i, d)
+            if value and (value, -abs(d - band)) > best:  # of equals the one nearest to the diagonal
+                best, end = (value, -abs(d - band)), (i, d)
     out = []
     while end and step[end]:
         i, d = end

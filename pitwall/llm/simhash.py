@@ -36,6 +36,7 @@ from pitwall.llm.common import slices, stored
 from pitwall.llm.components import components
 
 SEED = 42
+HOT = 1000
 
 
 def _shingle_digests(text: str | None, size: int) -> list[bytes]:
@@ -131,11 +132,16 @@ def links(nodes: DataFrame, max_bits: int = 2, long_list: int = 64) -> DataFrame
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes, max_bits))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stored(nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "classes")
+    # fingerprints with over 1/HOT of all rows are fewer than HOT, and their rows need no shuffle
+    often = F.col("n") * HOT > prints.count()
+    hot = F.broadcast(classes.where(often).select("fp", "component_id"))
+    rows = prints.join(hot, "fp").unionByName(
+        prints.join(hot, "fp", "left_anti").join(classes.where(~often).select("fp", "component_id"), "fp"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
