@@ -152,9 +152,9 @@ query("a4_write_layer", sql("""
     SELECT year, COUNT(*) AS n, (SELECT COUNT(*) FROM driver_standings) AS written FROM driver_standings GROUP BY year""", "driver_standings"),
     )(written_layer)
 query("a9_audit_layer", sql("""
-    SELECT COUNT(*) AS n, 22 AS n_columns FROM results""", "results"),
-    )(lambda t: (lambda size: t.results.agg(F.max(F.lit(size["rows"])).alias("n")).withColumn(
-        "n_columns", F.lit(size["columns"] - 2)))(src.write_layer(t.results.select(*t.results.columns[:24]), t.lake.path("audited"))))
+    SELECT COUNT(*) AS n, 26 AS n_columns FROM results""", "results"),
+    )(lambda t: (lambda size: t.spark.read.parquet(t.lake.path("audited")).agg(F.max(F.lit(size["rows"])).alias("n")).withColumn(
+        "n_columns", F.lit(size["columns"])))(src.write_layer(t.results, t.lake.path("audited"))))
 
 
 def relanded(t):

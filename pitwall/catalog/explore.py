@@ -60,10 +60,10 @@ query("q9_feature_evolution", sql(f"""
 query("q10_latest_top5", sql(f"""
     SELECT driverid, qtd_wins_last10, qtd_podiums_last10, {rr(['avg_position_last10'])}, total_points_last10
     FROM fs_all f WHERE dt_ref = (SELECT MAX(dt_ref) FROM fs_all g WHERE g.driverid = f.driverid)
-    ORDER BY total_points_last10 DESC LIMIT 5""", "fs_all"),
+    ORDER BY total_points_last10 DESC, driverid LIMIT 5""", "fs_all"),
     )(lambda t: rounded(ex.first(ex.newest_rows(t.features, "driverid").select(
         "driverid", "qtd_wins_last10", "qtd_podiums_last10", "avg_position_last10", "total_points_last10"),
-        [F.desc("total_points_last10")], 5)))
+        [F.desc("total_points_last10"), F.col("driverid")], 5)))
 query("q11_positive_sample", sql("""
     SELECT dt_ref, driverid, fl_champion, qtd_wins_life, total_points_last20 FROM t1
     WHERE fl_champion = 1 ORDER BY dt_ref DESC, driverid LIMIT 20""", "t1"),
@@ -390,6 +390,9 @@ query("a11_run_sql", sql("""
     SELECT team_name, COUNT(*) AS n FROM results WHERE mode = 'Race' GROUP BY team_name ORDER BY n DESC, team_name LIMIT 10""", "results"),
     )(lambda t: (t.results.createOrReplaceTempView("results"), run_sql(
         t.spark, "SELECT team_name, COUNT(*) AS n FROM results WHERE mode = 'Race' GROUP BY team_name ORDER BY n DESC, team_name LIMIT 10"))[1])
+query("a11_run_sql_capped", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 1000")(
+    lambda t: (t.table("events").createOrReplaceTempView("event_rows"), run_sql(
+        t.spark, "SELECT event_id, user_id /* no limit */ FROM event_rows ORDER BY event_id"))[1])
 query("b13_season_filter", sql(f"SELECT dt_ref, driverid, cum_points FROM driver_running WHERE year(dt_ref) = {Y}", "driver_running"),
       )(lambda t: ex.season_of(t.driver_running, Y).select("dt_ref", "driverid", "cum_points"))
 query("b15_curated_features", sql(f"SELECT dt_ref, driverid, {rr(CHAMPION_FEATURES)}, fl_champion FROM t3", "t3"),

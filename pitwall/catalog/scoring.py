@@ -63,10 +63,21 @@ query("l24_grouped_holdout", sql("""
     FROM t3 JOIN g ON g.driverid = t3.driverid AND g.season = year(dt_ref)""", "t3"))(
     lambda t: ev.grouped_holdout(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL, F.year("dt_ref").alias("season")),
                                  LABEL, ["driverid", "season"]).select("dt_ref", "driverid", "split"))
-query("b14_feature_selector", sql("""
-    SELECT dt_ref, driverid, qtd_sprint_life, qtd_wins_sprint_last10, round(avg_grid_life + 1e-9, 6) AS avg_grid_life FROM t1""", "t1"))(
+# Metrics by name, as the selector must leave them: no sprint metric but four, two windows.
+_SCOPED = "wins podiums top5 grid_top5 poles pole_win sessions_with_points sessions_with_overtake".split()
+_INPUTS = [
+    "qtd_seasons", "qtd_sessions", "qtd_finished", "qtd_race", "qtd_finished_race", "qtd_sprint",
+    *[f"qtd_{n}{s}" for n in _SCOPED for s in ("", "_race")], "qtd_wins_sprint", "qtd_podiums_sprint",
+    "total_points", "total_points_race", "total_points_sprint",
+    *[f"avg_{n}{s}" for n in ("grid", "position", "overtakes") for s in ("", "_race")],
+    "qtd_quali", "avg_quali_position", "qtd_quali_pole", "qtd_quali_top3", "qtd_quali_top10",
+    "avg_air_temp", "avg_track_temp", "avg_humidity", "avg_pressure", "avg_wind_speed", "qtd_sessions_rain", "pct_sessions_rain"]
+_CHOSEN = [f"{n}_{w}" for w in ("life", "last10") for n in _INPUTS]
+query("b14_feature_selector", sql(f"""
+    SELECT dt_ref, driverid, {", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 6) AS {c}" for c in _CHOSEN)} FROM t1""", "t1"))(
     lambda t: rounded(t.abt_champions.select("dt_ref", "driverid", *[
-        c for c in training.feature_columns(t.abt_champions.columns) if c in ("qtd_sprint_life", "qtd_wins_sprint_last10", "avg_grid_life", "avg_grid_last20", "avg_grid_sprint_life")])))
+        F.col(c).cast("double").alias(c) for c in training.feature_columns(t.abt_champions.columns)])))
+
 
 # -- metrics on labelled documents ----------------------------------------------
 step("judged", "SELECT doc_id, quality AS y, CAST((doc_id * 7919) % 100 AS DOUBLE) / 100 AS p FROM labels")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 HIGH = "1048576D"
-LOW = "8796093022208D"
+LOW = "1073741824D"
 
 RACE = ("Race",)
 SPRINT = ("Sprint", "Sprint Race")
@@ -31,8 +31,9 @@ class Metric:
     def partials(self, doubles: set[str]) -> dict[str, str]:
         """Aggregates that add up over rows, all of them whole numbers.
 
-        A double is split into two fixed-point halves (2^-20 and 2^-63), so that
-        running sums can be subtracted later without rounding.
+        A double is split into two fixed-point halves (2^-20 and 2^-50), so that
+        running sums can be subtracted later without rounding. A half of a row is
+        under 2^30, so eight billion rows add up without overflow.
         """
         e = self.expr()
         if self.kind == "count":
@@ -121,6 +122,7 @@ METRICS: list[Metric] = [
     Metric("pct_sessions_rain", "mean", "rainfall"),
 ]
 NAMES = [SEASONS] + [m.name for m in METRICS]
+SPRINT_METRICS = {m.name for m in METRICS if m.where and _modes(SPRINT) in m.where}
 
 # Groups offered by the feature explorer.
 GROUPS = {

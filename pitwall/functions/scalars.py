@@ -58,23 +58,37 @@ def ratio(a, b) -> Column:
     return _col(a).cast("double") / F.nullif(_col(b), F.lit(0))
 
 
+def _clock(ns: Column, *units: tuple[str, int]) -> Column:
+    """Nanoseconds as counts of ``units`` (format, thousandths of a second), largest first, in whole numbers."""
+    def div(a: Column, b: int) -> Column:
+        return F.call_function("div", a, F.lit(b))
+
+    rest = div(ns + 500_000, 1_000_000)
+    fields, form = [], ""
+    for mark, size in units:
+        fields.append(div(rest, size))
+        form += mark
+        rest = rest % size
+    return F.format_string(form + "%03d", *fields, rest)
+
+
+def _if_timed(ns: Column, text: Column) -> Column:
+    return F.coalesce(F.when(ns != 0, text), F.lit(""))
+
+
 def lap_time(ns) -> Column:
-    """m:ss.SSS, or s.SSS under a minute; empty for NULL and 0."""
-    ms = _col(ns) / F.lit(1e6)
-    minutes = F.floor(ms / 60000).cast("int")
-    seconds = (ms % 60000) / 1000
-    text = F.when(minutes > 0, F.format_string("%d:%06.3f", minutes, seconds)).otherwise(
-        F.format_string("%.3f", seconds))
-    return F.when(_col(ns).isNull() | (_col(ns) == 0), "").otherwise(text)
+    """m:ss.SSS, or s.SSS under a minute; empty for NULL and 0. Rounded to the thousandth first."""
+    ns = _col(ns).cast("bigint")
+    long = _clock(ns, ("%d:", 60_000), ("%02d.", 1000))
+    return _if_timed(ns, F.when(ns >= 59_999_500_000, long).otherwise(_clock(ns, ("%d.", 1000))))
 
 
 def race_time(ns, is_winner: Column) -> Column:
     """h:mm:ss.SSS for the winner, +s.SSSs behind it for the others."""
-    s = _col(ns) / F.lit(1e9)
-    full = F.format_string("%d:%02d:%06.3f", F.floor(s / 3600).cast("int"),
-                           F.floor(s % 3600 / 60).cast("int"), s % 60)
-    text = F.when(is_winner, full).otherwise(F.format_string("+%.3fs", s))
-    return F.when(_col(ns).isNull() | (_col(ns) == 0), "").otherwise(text)
+    ns = _col(ns).cast("bigint")
+    total = _clock(ns, ("%d:", 3_600_000), ("%02d:", 60_000), ("%02d.", 1000))
+    behind = F.concat(F.lit("+"), _clock(ns, ("%d.", 1000)), F.lit("s"))
+    return _if_timed(ns, F.when(is_winner, total).otherwise(behind))
 
 
 def signed(delta) -> Column:
@@ -83,16 +97,24 @@ def signed(delta) -> Column:
     return F.coalesce(F.when(_col(delta) > 0, F.concat(F.lit("+"), text)).otherwise(text), F.lit(""))
 
 
+def _stated(c) -> Column:
+    """The text, NULL where it is missing or the word for missing."""
+    return F.nullif(_col(c), F.lit("nan"))
+
+
 def hex_color(c) -> Column:
-    text = F.lower(F.trim(_col(c)))
-    with_mark = F.when(text.startswith("#"), text).otherwise(F.concat(F.lit("#"), text))
-    return F.when(_col(c).isNull() | (_col(c) == "nan"), NO_COLOR).otherwise(with_mark)
+    """Lower-case colour with one leading mark, grey if none is stated."""
+    digits = F.regexp_replace(F.lower(F.trim(_stated(c))), "^#", "")
+    return F.coalesce(F.concat(F.lit("#"), digits), F.lit(NO_COLOR))
 
 
 def team_color(team, color) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in TEAM_COLORS.items() for x in kv])
-    given = _col(color).isNotNull() & (_col(color) != "") & (_col(color) != "nan")
-    return F.when(given, hex_color(color)).otherwise(F.coalesce(known[_col(team)], F.lit(NO_COLOR)))
+    """The stated colour, else the known one of the team, else grey."""
+    fallback = F.lit(NO_COLOR)
+    for name, known in TEAM_COLORS.items():
+        fallback = F.when(_col(team) == name, known).otherwise(fallback)
+    own = F.nullif(_stated(color), F.lit(""))
+    return F.when(own.isNull(), fallback).otherwise(hex_color(own))
 
 
 def risk_tier(p) -> Column:

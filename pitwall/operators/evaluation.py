@@ -25,6 +25,7 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def softmax(df: DataFrame, by: str, score: str, name: str) -> DataFrame:
     """Shares per date, shifted by the date's maximum to stay finite."""
+    df = cut(df)  # read three times below
     top = small(df.groupBy(by).agg(F.max(score).alias("__top")))
     raised = df.join(top, by).withColumn("__e", F.exp(F.col(score) - F.col("__top")))
     total = small(raised.groupBy(by).agg(F.sum("__e").alias("__total")))
@@ -43,11 +44,11 @@ def two_class_year(df: DataFrame, target: str, at: str = "dt_ref") -> int | None
     return row[0] if row[0] is not None else row[1]
 
 
-def late_dates(df: DataFrame, drop_last: int = 5, at: str = "dt_ref") -> DataFrame:
-    """The last dates of each year; none unless some year has more than that."""
+def late_dates(df: DataFrame, drop_last: int = 5, at: str = "dt_ref", longer_than: int = 5) -> DataFrame:
+    """The last ``drop_last`` dates of each year; none unless some year has more than ``longer_than`` dates."""
     days = df.select(_year(at).alias("year"), at).distinct()
     longest = days.groupBy("year").count().agg(F.max("count")).first()[0] or 0
-    return top_k(days, ["year"], [F.col(at).desc()], drop_last if longest > 5 else 0)
+    return top_k(days, ["year"], [F.col(at).desc()], drop_last if longest > longer_than else 0)
 
 
 def recency(df: DataFrame, at: str = "dt_ref") -> DataFrame:
@@ -59,10 +60,11 @@ def recency(df: DataFrame, at: str = "dt_ref") -> DataFrame:
 
 
 def split(df: DataFrame, target: str, oot_years: list[int] | int | None = None,
-          drop_last: int = 5, at: str = "dt_ref") -> DataFrame:
+          drop_last: int = 5, at: str = "dt_ref", longer_than: int = 5) -> DataFrame:
     """Add ``split``: out-of-time years, the test year before them, earlier training.
 
-    Training leaves out the last ``drop_last`` dates of each year (0 keeps all).
+    Training leaves out the last ``drop_last`` dates of each year (0 keeps all), if
+    some training year has more than ``longer_than`` dates.
     Rows after the first out-of-time year that are not in it are dropped.
     """
     if oot_years is None:
@@ -76,7 +78,7 @@ def split(df: DataFrame, target: str, oot_years: list[int] | int | None = None,
             .when(year == test_year, "test").when(year < test_year, "train"))
     out = df.withColumn("split", name).where(F.col("split").isNotNull())
     if drop_last:
-        late = late_dates(out.where("split = 'train'"), drop_last, at).select(at, F.lit("train").alias("split"))
+        late = late_dates(out.where("split = 'train'"), drop_last, at, longer_than).select(at, F.lit("train").alias("split"))
         out = out.join(small(late), [at, "split"], "left_anti")
     return out
 
@@ -134,7 +136,7 @@ def curve_points(scored: DataFrame, label: str, prob: str, by: list[str] = [],
                  limit: int | None = None) -> DataFrame:
     """True and false positives at each distinct threshold, highest first."""
     per = cut(_by_score(scored.where(F.col(label).isNotNull()), label, prob, by))
-    cum = running(per, by, [-F.col("p")], {"tp": F.col("pos"), "fp": F.col("neg")}, limit)
+    cum = running(per, by, [F.col("p").desc_nulls_last()], {"tp": F.col("pos"), "fp": F.col("neg")}, limit)
     ends = per.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if by:
         cum = cum.join(small(ends), by)
@@ -152,7 +154,7 @@ def ranking_metrics(scored: DataFrame, label: str, prob: str, by: list[str] = []
     """ROC-AUC with ties averaged and PR-AUC as average precision; NULL for one class."""
     pts = curve_points(scored, label, prob, by, limit)
     wins = F.sum((F.col("tp") - F.col("pos") / 2.0) * F.col("neg"))
-    both = F.col("n_pos") * F.col("n_neg")
+    both = F.col("n_pos").cast("double") * F.col("n_neg")  # no whole number holds it
     steps = F.sum(F.col("precision") * F.col("pos"))
     out = pts.groupBy(*by, "n_pos", "n_neg").agg(wins.alias("wins"), steps.alias("steps"))
     ok = both > 0

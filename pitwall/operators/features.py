@@ -41,6 +41,14 @@ def calendar_slots(results: DataFrame) -> DataFrame:
     return results.select(*ROUND).distinct()
 
 
+def _next_refs(slots: DataFrame, dates: DataFrame) -> DataFrame:
+    """The first reference date after each day of the calendar."""
+    refs = dates.select(F.col("dt_ref").alias("event_date"), F.col("dt_ref")).distinct()
+    later = W.orderBy("event_date").rowsBetween(1, W.unboundedFollowing)
+    return slots.select("event_date").distinct().join(refs, "event_date", "left").select(
+        "event_date", F.min("dt_ref").over(later).alias("next_ref"))
+
+
 def _schedule(slots: DataFrame, dates: DataFrame, windows: dict[str, int | None],
               weighting: str) -> DataFrame:
     """When each round date enters (+) and leaves (-) each window.
@@ -51,13 +59,7 @@ def _schedule(slots: DataFrame, dates: DataFrame, windows: dict[str, int | None]
     """
     order = W.orderBy("event_date", "year", "round_number")
     after = order.rowsBetween(1, W.unboundedFollowing)
-    days = (
-        slots.select("event_date").distinct()
-        .join(dates.select(F.col("dt_ref").alias("event_date"), F.col("dt_ref")).distinct(), "event_date", "left")
-        .withColumn("next_ref", F.min("dt_ref").over(
-            W.orderBy("event_date").rowsBetween(1, W.unboundedFollowing)))
-        .select("event_date", "next_ref")
-    )
+    days = _next_refs(slots, dates)
     bounded = {s: n for s, n in windows.items() if n}
     s = slots.select(*ROUND, *[F.lead("event_date", n).over(order).alias(f"x_{k}")
                                for k, n in bounded.items()])
@@ -98,7 +100,7 @@ def _schedule(slots: DataFrame, dates: DataFrame, windows: dict[str, int | None]
     return rows.where(" OR ".join(f"{c} <> 0" for c in weights))
 
 
-def _own_schedule(partials: DataFrame, dates: DataFrame, entity: str,
+def _own_schedule(partials: DataFrame, slots: DataFrame, dates: DataFrame, entity: str,
                   windows: dict[str, int | None]) -> DataFrame:
     """The same entries and exits when "last N" counts the entrant's own rounds."""
     bounded = {s: n for s, n in windows.items() if n}
@@ -110,11 +112,9 @@ def _own_schedule(partials: DataFrame, dates: DataFrame, entity: str,
                       *[F.lit(-1 if j == k else 0).alias(f"w_{j}") for j in windows]) for k in bounded]
     p = p.withColumn("m", F.explode(F.array(entry, *exits))).drop(*[f"x_{k}" for k in bounded])
     p = p.where(F.col("m.d").isNotNull())
-    days = dates.select("dt_ref").distinct().withColumn(
-        "since", F.lag("dt_ref").over(W.orderBy("dt_ref")))
-    # [since, dt_ref) holds the dates whose next reference date is dt_ref.
-    days = days.select("dt_ref", F.explode(F.sequence(
-        F.coalesce("since", F.date_sub("dt_ref", 4000)), F.date_sub("dt_ref", 1))).alias("d"))
+    # Entries and exits fall on days of the calendar, each with its next reference date.
+    days = _next_refs(slots, dates).select(F.col("event_date").alias("d"), F.col("next_ref").alias("dt_ref"))
+    days = days.where(F.col("dt_ref").isNotNull())
     return (p.withColumn("d", F.col("m.d")).join(small(days), "d")
             .select(*[c for c in partials.columns], F.col("dt_ref").alias("at"),
                     *[F.col(f"m.w_{k}").alias(f"w_{k}") for k in windows]))
@@ -161,7 +161,7 @@ def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
     weights = [f"w_{k}" for k in windows]
 
     if scope == "entity":
-        marked = _own_schedule(partials, dates, entity, windows)
+        marked = _own_schedule(partials, calendar_slots(results), dates, entity, windows)
     else:
         plan = small(_schedule(cut(calendar_slots(results)), dates, windows, weighting))
         marked = partials.join(plan, ROUND)

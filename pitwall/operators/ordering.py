@@ -3,8 +3,10 @@
 A Spark window sends a whole group to one task. That is right for groups the
 calendar bounds, and wrong for "all entrants of an event" or "all scored rows".
 Here the largest group is counted first. Up to ``LIMIT`` rows the plain window
-runs; beyond it the group is cut into value ranges, each range is ordered on its
-own, and the totals of the ranges before it are added. Both ways are exact.
+runs; beyond it all rows are dealt into ranges of (group, order), as many as their
+number asks for, each range is ordered on its own, and the totals of a group's
+ranges before it are added. Both ways give the same rows: NULL is a group like any
+other, and NULL values rank last, tied with each other, whatever the direction.
 """
 
 from __future__ import annotations
@@ -14,8 +16,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pitwall.plans.lake import cut, small
 
 LIMIT = 2_000_000
-MAX_RANGES = 256
-_SAMPLE = 4096
 
 
 def _largest(df: DataFrame, by: list[str]) -> int:
@@ -25,33 +25,23 @@ def _largest(df: DataFrame, by: list[str]) -> int:
     return row[0] or 0
 
 
-def _ranges(df: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """Add ``__b``: the value range a row of a large group falls into."""
-    sizes = df.groupBy(*by).count().where(F.col("count") > limit)
-    sizes = small(sizes)
-    hashed = F.pmod(F.xxhash64("__k"), F.greatest(F.lit(1), F.floor(F.col("count") / _SAMPLE)))
-    picked = (
-        df.join(sizes, by).where(hashed == 0)
-        .groupBy(*by, "count").agg(F.array_sort(F.collect_set("__k")).alias("__s"))
-    )
-    n = F.least(F.lit(MAX_RANGES), F.ceil(2 * F.col("count") / limit)).cast("int")
-    step = F.greatest(F.lit(1), F.floor(F.size("__s") / n)).cast("int")
-    cuts = (
-        picked.withColumn("__step", step)
-        .select(*by, F.expr("filter(__s, (x, i) -> i % __step = 0)").alias("__cuts"))
-    )
-    out = df.join(small(cuts), by, "left")
-    below = F.size(F.filter("__cuts", lambda c: c <= F.col("__k")))
-    return cut(out.withColumn("__b", F.coalesce(below, F.lit(0))).drop("__cuts"))
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys under which NULL meets NULL; the keys are kept once."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def _ranges(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
+    """Add ``__b``: the number of the range of (group, order) a row falls into."""
+    parts = max(2, -(-2 * df.count() // limit))
+    dealt = df.repartitionByRange(parts, *[F.col(c) for c in by], *order)
+    return cut(dealt.withColumn("__b", F.spark_partition_id()))
 
 
 def running(df: DataFrame, by: list[str], order: list[Column],
             sums: dict[str, Column], limit: int | None = None) -> DataFrame:
-    """Running totals, own row included, along a unique ascending order.
-
-    Negate a number to order it downwards. ``order`` must tell all rows of a
-    group apart and must not be NULL.
-    """
+    """Running totals, own row included, along a unique order."""
     limit = limit or LIMIT
     keys = by or ["__all"]
     src = df if by else df.withColumn("__all", F.lit(0))
@@ -60,18 +50,19 @@ def running(df: DataFrame, by: list[str], order: list[Column],
         out = src.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
         return out if by else out.drop("__all")
 
-    src = src.withColumns({f"__v_{n}": c for n, c in sums.items()})
-    src = _ranges(src.withColumn("__k", F.struct(*order)), keys, limit)
+    src = _ranges(src.withColumns({f"__v_{n}": c for n, c in sums.items()}), keys, order, limit)
     totals = src.groupBy(*keys, "__b").agg(
         *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "__b", *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
-    w = W.partitionBy(*keys, "__b").orderBy("__k").rowsBetween(W.unboundedPreceding, 0)
-    out = src.join(small(offsets), [*keys, "__b"]).withColumns({
-        n: F.sum(f"__v_{n}").over(w) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums})
-    return out.drop("__all", "__b", "__k", *[f"__v_{n}" for n in sums],
-                    *[f"__o_{n}" for n in sums])
+    w = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = src.withColumns({n: F.sum(f"__v_{n}").over(w) for n in sums})
+    out = meet(inner, small(offsets), [*keys, "__b"])
+    # a NULL total has no rows with a value before; a NULL sum has none up to here
+    out = out.withColumns({n: F.when(F.col(n).isNull(), F.col(f"__o_{n}")).otherwise(
+        F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))) for n in sums})
+    return out.drop("__all", "__b", *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 
 def row_number(df: DataFrame, by: list[str], order: list[Column], name: str,
@@ -82,16 +73,16 @@ def row_number(df: DataFrame, by: list[str], order: list[Column], name: str,
 
 def rank(df: DataFrame, by: list[str], value: str, name: str,
          descending: bool = True, limit: int | None = None) -> DataFrame:
-    """RANK with ties. A large group is first reduced to its distinct values."""
+    """RANK with ties, NULL last. A large group is first reduced to its distinct values."""
     limit = limit or LIMIT
-    key = -F.col(value) if descending else F.col(value)
+    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     if by and _largest(df, by) <= limit:
         w = W.partitionBy(*by).orderBy(key)
         return df.withColumn(name, F.rank().over(w))
     values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     values = running(cut(values), by, [key], {"__upto": F.col("__n")}, limit)
     values = values.select(*by, value, (F.col("__upto") - F.col("__n") + 1).cast("int").alias(name))
-    return df.join(values, [*by, value])
+    return meet(df, values, [*by, value])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, key: str,
@@ -99,7 +90,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, key: str,
     """Exact interpolated quantiles, reading only the rows around each cut."""
     rows = row_number(df.where(F.col(value).isNotNull()), by,
                       [F.col(value), F.col(key)], "__rn", limit)
-    rows = rows.join(small(df.groupBy(*by).agg(F.count(value).alias("__n"))), by)
+    rows = meet(rows, small(df.groupBy(*by).agg(F.count(value).alias("__n"))), by)
     aggs = []
     for name, p in probs.items():
         at = (F.col("__n") - 1) * F.lit(float(p)) + 1

@@ -24,6 +24,7 @@ TEAM_ROLLUP = [
     ("total_points_race_last20", "points_race_last20", "sum"),
     ("avg_position_race_last20", "position_race_last20", "avg"),
 ]
+# The same for qualifying.
 QUALI_ROLLUP = [
     ("qtd_quali_life", "quali_life", "sum"), ("avg_quali_position_life", "quali_position_life", "avg"),
     ("qtd_quali_pole_life", "quali_pole_life", "sum"), ("qtd_quali_top3_life", "quali_top3_life", "sum"),

@@ -283,4 +283,4 @@ def result_table(event: DataFrame) -> DataFrame:
         "race_text": race_time("race_time", F.col("position") == F.lit(best)),
         **{c: F.col(c).cast("bigint") for c in ("position", "grid_position", "quali_position", "points")},
     })
-    return out.select(*[F.col(c).alias(h) for c, h in RESULT_COLUMNS]).orderBy("Pos")
+    return out.select(*[F.col(c).alias(h) for c, h in RESULT_COLUMNS]).orderBy(F.col("Pos").asc_nulls_last())

@@ -11,17 +11,21 @@ from dataclasses import dataclass, field
 from statistics import mean, pstdev
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from pitwall.functions.metrics import NAMES, SPRINT_METRICS
 from pitwall.functions.scalars import FILL, risk_tier
 from pitwall.operators import evaluation as ev
 from pitwall.operators.career import latest_names
+from pitwall.operators.features import WINDOWS
 from pitwall.operators.ordering import latest
-from pitwall.plans.lake import shared_root
+from pitwall.plans.base_tables import QUALI_ROLLUP, TEAM_ROLLUP
+from pitwall.plans.lake import cut, shared_root
 
 # Curated inputs of the three models and of the team explorer.
 CHAMPION_FEATURES = [
@@ -53,21 +57,33 @@ DEPARTURE_FEATURES = [
 ]
 
 
-# Columns that never are inputs, and sprint inputs worth keeping.
+# Columns that never are inputs, and sprint metrics worth keeping.
 NOT_INPUTS = {"dt_ref", "driverid", "year", "teamid", "team_name", "fl_champion",
               "fl_constructor_champion", "fl_departed", "prediction_year", "data_as_of"}
-KEPT_SPRINT = ("qtd_sprint_", "qtd_wins_sprint_", "total_points_sprint_", "qtd_podiums_sprint_")
+SPRINT_INPUTS = {"qtd_sprint", "qtd_wins_sprint", "total_points_sprint", "qtd_podiums_sprint"}
+INPUT_WINDOWS = ("life", "last10")
 
 
-def feature_columns(columns: list[str], exclude: tuple[str, ...] = (), drop_redundant: bool = True) -> list[str]:
-    """Model inputs: no keys, labels, long windows or weak sprint columns."""
-    out = [c for c in columns if c not in NOT_INPUTS and c not in exclude]
-    if drop_redundant:
-        out = [c for c in out if not c.endswith(("_last20", "_last40"))]
-        out = [c for c in out if "sprint" not in c or c.startswith(KEPT_SPRINT)]
+def _described() -> dict[str, tuple[str, str]]:
+    """Every feature column a base table can hold, as (metric, window): of entrants and rolled up to teams."""
+    out = {f"{m}_{w}": (m, w) for m in NAMES for w in WINDOWS}
+    for source, name, kinds in TEAM_ROLLUP + QUALI_ROLLUP:
+        out |= {f"{kind}_{name}": out[source] for kind in kinds.split()}
     return out
 
 
+def feature_columns(columns: list[str], exclude: tuple[str, ...] = (), windows: tuple[str, ...] = INPUT_WINDOWS,
+                    sprint: set[str] = SPRINT_INPUTS) -> list[str]:
+    """Model inputs among the columns of a base table.
+
+    Metrics count over the named windows only, sprint metrics only if named;
+    columns that are no metric (standings, team mates, age) always do.
+    """
+    left_out = {c for c, (m, w) in _described().items()
+                if w not in windows or (m in SPRINT_METRICS and m not in sprint)}
+    return [c for c in columns if c not in NOT_INPUTS | left_out | set(exclude)]
+
+
 N_FOLDS = 5
 N_TRIALS = 30
 PARALLEL_TRIALS = 4
@@ -203,8 +219,7 @@ def tune(c: Candidate, df: DataFrame, features: list[str], target: str, n_trials
     def run(p):
         try:
             return mean(cross_validate(c, df, features, target, p, n_folds, scoring))
-        except Exception as e:  # a setting that cannot be fitted loses, it does not stop the search
-            print(f"{c.name}: setting {p} failed: {type(e).__name__}")
+        except IllegalArgumentException:  # a setting that the estimator refuses loses; anything else rises
             return 0.0
     with ThreadPoolExecutor(PARALLEL_TRIALS) as pool:
         tried = list(pool.map(run, trials))
@@ -252,6 +267,7 @@ class Trained:
     best: str
     models: dict[str, PipelineModel]
     final: PipelineModel
+    skipped: dict[str, str] = field(default_factory=dict)
 
 
 def train(abt: DataFrame, task: Task, cands: dict[str, Candidate] | None = None,
@@ -264,7 +280,7 @@ def train(abt: DataFrame, task: Task, cands: dict[str, Candidate] | None = None,
     parts = ev.split(rows, task.target, task.oot_years, task.drop_last).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = parts.where("split = 'train'")
     cv_scoring = "average_precision" if task.scoring == "combined" else task.scoring
-    tuned, models, scored = {}, {}, []
+    tuned, models, scored, skipped = {}, {}, [], {}
     for name, c in cands.items():
         try:
             t = tune(c, fit_rows, task.features, task.target, n_trials, cv_scoring, n_folds, task.overrides)
@@ -274,17 +290,19 @@ def train(abt: DataFrame, task: Task, cands: dict[str, Candidate] | None = None,
                 newest = fit_rows.agg(F.max(F.year("dt_ref"))).first()[0]
                 stop, source = "is_val", fit_rows.withColumn("is_val", F.year("dt_ref") == newest)
             models[name] = fit(c, source, task.features, task.target, t["params"], stop)
-        except Exception as e:
-            print(f"skipped {name}: {type(e).__name__}: {e}")
+        except IllegalArgumentException as e:  # refused rows or settings; anything else rises
+            skipped[name] = str(e)
             continue
         tuned[name] = t
         scored.append(score(models[name], parts, task.features).select(
             F.lit(name).alias("model"), "split", "dt_ref", task.key, F.col(task.target).alias("y"), "prob"))
     if not scored:
-        raise RuntimeError("no candidate could be trained")
+        raise RuntimeError(f"no candidate could be trained: {skipped}")
     every = scored[0]
     for s in scored[1:]:
         every = every.unionByName(s)
+    every = cut(every)  # scored once for all metrics
+    parts.unpersist()
     metrics = ev.evaluate(every, "y", "prob", ["model", "split"], winners, task.key)
     cv = spark.createDataFrame([(m, t["cv_score"], t["tuned_cv_score"]) for m, t in tuned.items()],
                                "model string, cv_score double, tuned_cv_score double")
@@ -293,8 +311,10 @@ def train(abt: DataFrame, task: Task, cands: dict[str, Candidate] | None = None,
     if "top1_acc" not in have:
         table = table.withColumn("top1_acc_test", F.lit(None).cast("double"))
     best = ev.best_model(table, task.scoring).first()["model"]
-    final = fit(cands[best], rows, task.features, task.target, tuned[best]["params"])
-    return Trained(metrics, table, best, models, final)
+    # the winner is tuned again on all rows before its last fit
+    last = tune(cands[best], rows, task.features, task.target, n_trials, cv_scoring, n_folds, task.overrides)
+    final = fit(cands[best], rows, task.features, task.target, last["params"])
+    return Trained(metrics, table, best, models, final, skipped)
 
 
 def _season(abt: DataFrame, year: int) -> DataFrame:

@@ -28,9 +28,12 @@ def register_lake(spark: SparkSession, root: str, names=TABLES) -> list[str]:
 
 
 def run_sql(spark: SparkSession, text: str, limit: int = 1000) -> DataFrame:
-    """Run a query, capped for display unless it names its own limit."""
+    """Run a query, capped for display unless its outermost step is a limit."""
     df = spark.sql(text.strip().rstrip(";"))
-    return df if "limit" in text.lower() else df.limit(limit)
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "WithCTE":
+        plan = plan.plan()
+    return df if plan.nodeName() == "GlobalLimit" else df.limit(limit)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -28,22 +28,24 @@ def keep_newest(stream: DataFrame, path: str, checkpoint: str, key: list[str], a
     """Maintain the newest row per key in a partitioned table.
 
     Each batch is merged with the partitions it touches, and only those are
-    rewritten. Running a batch again gives the same table.
+    rewritten; rows without a partition value are a partition, too. Running a batch
+    again gives the same table.
     """
     schema = stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = cut(newest(batch, key, at))
-        touched = [r[0] for r in batch.select(partition).distinct().collect()]
-        if not touched:
+        if batch.isEmpty():
             return
+        touched = batch.select(F.col(partition).alias("__touched")).distinct()
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         merged = batch
         if fs.exists(folder):
-            old = spark.read.schema(schema).parquet(path).where(F.col(partition).isin(touched))
+            old = spark.read.schema(schema).parquet(path)
+            old = old.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
             merged = cut(newest(old.unionByName(batch), key, at))
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition).parquet(path))
