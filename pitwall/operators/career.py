@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pitwall.operators.features import race_dates, scoring
+from pitwall.operators.features import numbered_days, race_dates, scoring, spread
 from pitwall.operators.ordering import latest
 from pitwall.plans.lake import small
 
@@ -92,27 +92,28 @@ def teammate_gap(results: DataFrame, on_transfer: str = "fanout") -> DataFrame:
 def season_so_far(results: DataFrame) -> DataFrame:
     """Season sums per (entrant, team) strictly before each race date.
 
-    Running sums give the state after each day, and each state holds until the
-    pair's next day, so no date is joined with its whole past.
+    Running sums give the state after each day. Race dates are numbered, and each
+    state names the dates up to the pair's next day, so no date meets another state.
     """
     per = scoring(results).groupBy(ID, "teamid", "year", "event_date").agg(
         F.sum("points").alias("p"), F.sum("position").alias("ps"), F.count("position").alias("pn"),
         F.sum("grid_position").alias("gs"), F.count("grid_position").alias("gn"),
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_finished") == 0, 1)).alias("d"))
+    days = small(numbered_days(results))
+    refs = days.where("is_ref = 1").select(F.col("n").alias("i"), F.col("event_date").alias("dt_ref"))
+    ends = days.where("is_ref = 1").join(small(race_dates(results)), days.event_date == F.col("dt_ref")).groupBy(
+        F.col("ref_year").alias("year")).agg(F.max("n").alias("season_end"))
+    per = per.join(days.select("event_date", F.col("n").alias("i0")), "event_date").join(small(ends), "year")
     own = W.partitionBy(ID, "teamid", "year").orderBy("event_date")
     upto = own.rowsBetween(W.unboundedPreceding, 0)
     state = per.select(
-        ID, "teamid", "year", "event_date", F.lead("event_date").over(own).alias("until"),
+        ID, "teamid", "year", "i0", F.coalesce(F.lead("i0").over(own), "season_end").alias("i1"),
         *[F.sum(c).over(upto).alias(c) for c in ("p", "ps", "pn", "gs", "gn", "n", "d")])
-    dates = small(race_dates(results).withColumnRenamed("ref_year", "year"))
-    return (
-        state.join(dates, "year")
-        .where((F.col("dt_ref") > F.col("event_date")) &
-               (F.col("until").isNull() | (F.col("dt_ref") <= F.col("until"))))
-        .select("dt_ref", ID, "teamid", "year", F.col("p").alias("season_points"),
-                (F.col("ps").cast("double") / F.nullif(F.col("pn"), F.lit(0))).alias("season_avg_position"),
-                (F.col("gs").cast("double") / F.nullif(F.col("gn"), F.lit(0))).alias("season_avg_grid"),
-                F.col("n").alias("season_races"), F.col("d").alias("season_dnfs")))
+    return spread(state, F.col("i0") + 1, F.col("i1"), refs).select(
+        "dt_ref", ID, "teamid", "year", F.col("p").alias("season_points"),
+        (F.col("ps").cast("double") / F.nullif(F.col("pn"), F.lit(0))).alias("season_avg_position"),
+        (F.col("gs").cast("double") / F.nullif(F.col("gn"), F.lit(0))).alias("season_avg_grid"),
+        F.col("n").alias("season_races"), F.col("d").alias("season_dnfs"))
 
 
 def current_team(results: DataFrame) -> DataFrame:
@@ -148,19 +149,11 @@ def career_teams(results: DataFrame) -> DataFrame:
 
 def _hold(changes: DataFrame, results: DataFrame, cols: list[str]) -> DataFrame:
     """Spread a state that changes on some days over the later race dates."""
-    own = W.partitionBy(ID).orderBy("event_date")
-    spans = changes.withColumn("until", F.lead("event_date").over(own))
-    days = F.sequence(F.year("event_date"), F.year(F.coalesce("until", F.lit(_newest(results)))))
-    spans = spans.withColumn("ref_year", F.explode(days))
-    dates = small(race_dates(results))
-    return (spans.join(dates, "ref_year")
-            .where((F.col("dt_ref") > F.col("event_date")) &
-                   (F.col("until").isNull() | (F.col("dt_ref") <= F.col("until"))))
-            .select("dt_ref", ID, *cols))
-
-
-def _newest(results: DataFrame):
-    return results.agg(F.max("event_date")).first()[0]
+    days = small(numbered_days(results))
+    refs = days.where("is_ref = 1").select(F.col("n").alias("i"), F.col("event_date").alias("dt_ref"))
+    at = changes.join(days.select("event_date", F.col("n").alias("i0"), "n_all"), "event_date")
+    until = F.coalesce(F.lead("i0").over(W.partitionBy(ID).orderBy("event_date")), "n_all")
+    return spread(at.withColumn("i1", until), F.col("i0") + 1, F.col("i1"), refs).select("dt_ref", ID, *cols)
 
 
 def career_teams_inseason(results: DataFrame) -> DataFrame:

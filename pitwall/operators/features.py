@@ -41,6 +41,30 @@ def calendar_slots(results: DataFrame) -> DataFrame:
     return results.select(*ROUND).distinct()
 
 
+def numbered_days(results: DataFrame) -> DataFrame:
+    """Every day of the calendar with the number of race dates up to it, and of all.
+
+    A state that changes on some days holds for the race dates numbered from one
+    change's number + 1 to the next one's. One row per date.
+    """
+    refs = race_dates(results).select(F.col("dt_ref").alias("event_date"), F.lit(1).alias("is_ref")).distinct()
+    days = results.select("event_date").distinct().join(refs, "event_date", "left").fillna(0, ["is_ref"])
+    upto = W.orderBy("event_date").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.orderBy("event_date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return days.select("event_date", "is_ref", F.sum("is_ref").over(upto).cast("int").alias("n"),
+                       F.sum("is_ref").over(whole).cast("int").alias("n_all"))
+
+
+def spread(spans: DataFrame, first: Column, last: Column, refs: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Repeat each row for the reference dates numbered ``first`` to ``last``; adds dt_ref.
+
+    ``refs`` holds the number ``i`` and ``dt_ref``, within ``keys`` if there are any.
+    """
+    spans = spans.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+    spans = spans.withColumn("i", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+    return spans.join(refs, [*keys, "i"]).drop("i")
+
+
 def _next_refs(slots: DataFrame, dates: DataFrame) -> DataFrame:
     """The first reference date after each day of the calendar."""
     refs = dates.select(F.col("dt_ref").alias("event_date"), F.col("dt_ref")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pitwall.operators.features import scoring
+from pitwall.operators.features import scoring, spread
 from pitwall.operators.ordering import rank, top_k
 from pitwall.plans.lake import small
 
@@ -66,12 +66,15 @@ def carried_standings(running: DataFrame, key: str, calendar: DataFrame,
 
     An entrant missing an event keeps the points of its last one.
     """
-    spans = running.withColumn("next_dt", F.lead("dt_ref").over(
-        W.partitionBy("year", key).orderBy("dt_ref"))).select("year", key, "cum_points", "dt_ref", "next_dt")
-    dates = small(calendar.select("year", F.col("dt_ref").alias("at")))
-    held = (spans.join(dates, "year")
-            .where((F.col("at") >= F.col("dt_ref")) & (F.col("next_dt").isNull() | (F.col("at") < F.col("next_dt"))))
-            .select("year", F.col("at").alias("dt_ref"), key, "cum_points", F.lit(0).alias("points")))
+    season = W.partitionBy("year")
+    days = small(calendar.select("year", "dt_ref").distinct().select(
+        "year", "dt_ref", F.row_number().over(season.orderBy("dt_ref")).alias("i"), F.count(F.lit(1)).over(season).cast("int").alias("n")))
+    own = W.partitionBy("year", key).orderBy("i")
+    spans = running.join(days, EVENT).select(
+        "year", key, "cum_points", "i", F.coalesce(F.lead("i").over(own) - 1, "n").alias("upto"))
+    refs = days.select("year", "i", "dt_ref")
+    held = spread(spans.withColumnRenamed("i", "since"), F.col("since"), F.col("upto"), refs, ["year"]).select(
+        "year", "dt_ref", key, "cum_points", F.lit(0).alias("points"))
     return standings(held, key, limit=limit)
 
 
