@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pitwall.catalog import explore, query, rounded, season  # noqa: F401
@@ -10,7 +12,9 @@ from pitwall.functions import scalars as fn
 from pitwall.operators import bronze
 from pitwall.operators.features import driver_window
 from pitwall.plans import explore as ex
+from pitwall.plans.pipeline import build_layers
 from pitwall.sources import console, sessions as src
+from pitwall.sources.testbed import CLOSED_BEFORE
 
 step("raw", """
 WITH first AS (
@@ -104,11 +108,7 @@ query("b20_display_projection", sql("""
 
 
 def _landed(t):
-    path = t.lake.path("landing")
-    if "landing" not in t.lake._have:
-        src.land_session(t.raw, path)
-        t.lake._have.add("landing")
-    return path
+    return t.lake.built("landing", lambda path: src.land_session(t.raw, path))
 
 
 def scan_mixed(t):
@@ -159,7 +159,8 @@ query("a9_audit_layer", sql("""
 
 def relanded(t):
     """One session landed a second time replaces only itself."""
-    path = _landed(t)
+    path = t.lake.path("landed_twice")
+    src.land_session(t.raw, path)
     again = t.raw.where("Year = 1999 AND RoundNumber = 3 AND Mode = 'Race'").withColumn("Points", F.lit(1.0))
     src.land_session(again, path)
     return t.spark.read.parquet(path).groupBy("Year", "RoundNumber", "Mode").agg(
@@ -207,14 +208,30 @@ query("a8_session_weather", """
     lambda t: rounded(src.with_weather(t.table("events").select(F.to_date("ts").alias("day")).distinct(), _weather(t), ["day"])))
 
 
-def views(t):
-    t.lake.layer("results", t._results)
-    _ = t.features, t.abt_champions
-    console.register_lake(t.spark, t.lake.root)
-    return t.spark.sql("SELECT year, COUNT(*) AS n FROM results GROUP BY year")
+def lake_root(t):
+    """All layers of the fixture's results, built once."""
+    labels = {"champions": t.champions, "team_champions": t.team_champions, "births": t.births}
+    return t.lake.built("pipeline", lambda root: build_layers(
+        t.results, labels, root, first_year=1996, closed_before=CLOSED_BEFORE, label_year=1995))
+
 
+def layer_counts(t):
+    """Rows of every registered layer, by SQL over the views."""
+    names = console.register_lake(t.spark, lake_root(t))
+    return console.run_sql(t.spark, " UNION ALL ".join(f"SELECT '{n}' AS layer, COUNT(*) AS n FROM {n}" for n in names))
 
-query("a10_register_lake", sql("SELECT year, COUNT(*) AS n FROM results GROUP BY year", "results"))(views)
+
+_LAYERS = {"results": "results", **{f"fs_driver_{k}": f"fs_{k}" for k in ("life", "last10", "last20", "last40", "all")},
+           "abt_champions": "t1", "abt_teams": "t2", "abt_champions_inseason": "t3", "abt_teams_inseason": "t4",
+           "abt_departures": "t5", "abt_departures_inseason": "t6"}
+query("a10_register_lake", sql(" UNION ALL ".join(f"SELECT '{n}' AS layer, COUNT(*) AS n FROM {s}" for n, s in _LAYERS.items()),
+                               *_LAYERS.values()))(layer_counts)
+query("a15_build_layers", sql(" UNION ALL ".join(
+    f"SELECT '{n}' AS layer, {'year' if n == 'results' else 'year(dt_ref)'} AS season, COUNT(*) AS n FROM {s} GROUP BY ALL"
+    for n, s in _LAYERS.items()), *_LAYERS.values()))(
+    lambda t: reduce(lambda a, b: a.unionByName(b), [
+        t.spark.read.parquet(f"{lake_root(t)}/{n}").groupBy(F.col("year" if n == "results" else "season").cast("bigint").alias("season")).agg(
+            F.count(F.lit(1)).alias("n")).withColumn("layer", F.lit(n)) for n in _LAYERS]))
 query("a13_suffix_parameter", sql(
     "SELECT dt_ref, driverid, qtd_wins_last10 AS qtd_wins_form, total_points_last10 AS total_points_form FROM fs_last10", "fs_last10"),
     )(lambda t: driver_window(t.results, 10, "form").select("dt_ref", "driverid", "qtd_wins_form", "total_points_form"))
@@ -251,17 +268,3 @@ query("q34_race_result_table", sql(f"""
            {_RACE.format('race_time', 'position = (SELECT MIN(position) FROM ev)')} AS "Race Time",
            CAST(points AS BIGINT) AS "Points", status AS "Status" FROM ev""", "ev"),
     )(lambda t: ex.result_table(_event(t)))
-
-
-def built_layers(t):
-    """All layers in order, with their sizes."""
-    names = ["raw", "results", "features", "abt_champions", "abt_teams", "abt_champions_inseason",
-             "abt_teams_inseason", "abt_departures", "abt_departures_inseason"]
-    parts = [getattr(t, n).agg(F.count(F.lit(1)).alias("n")).withColumn("layer", F.lit(n)) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-query("a15_build_layers")(built_layers)

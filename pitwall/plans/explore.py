@@ -109,8 +109,9 @@ def metric_column(group: str, window: str, nth: int = 0) -> str:
 
 def explorer(features: DataFrame, results: DataFrame, metric: str, years: tuple[int, int],
              by: str = "driver") -> DataFrame:
-    year = F.year("dt_ref")
-    rows = named(features.where(year.between(*years)).select("dt_ref", "driverid", metric), results)
+    upto = F.col("dt_ref") < F.make_date(F.lit(years[1] + 1), F.lit(1), F.lit(1))  # a range of dates, which reaches the scan
+    rows = features.where((F.col("dt_ref") >= F.make_date(F.lit(years[0]), F.lit(1), F.lit(1))) & upto)
+    rows = named(rows.select("dt_ref", "driverid", metric), results)
     if by == "driver":
         return rows
     return rows.groupBy("dt_ref", "team_name").agg(F.avg(F.col(metric).cast("double")).alias(metric))

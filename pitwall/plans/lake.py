@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# A side is broadcast only after it was counted and found below this.
-BROADCAST_ROWS = 500_000
+# A side is broadcast only after its size was found below this.
+BROADCAST_BYTES = 64 << 20
 
 _roots: dict[str, str] = {}
 
@@ -37,10 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a larger side stays a shuffle join."""
+def _bytes(df: DataFrame):
+    """Bytes of a row as an expression: texts and arrays by their length, anything else at 16."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            width = width + 16 * F.greatest(F.lit(1), F.size(c))
+        else:
+            width = width + 16
+    return width.cast("bigint")
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast after measuring; a larger side stays a shuffle join."""
     stored = cut(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored.agg(F.sum(_bytes(stored))).first()[0] or 0
+    return F.broadcast(stored) if size <= max_bytes else stored
 
 
 class Lake:
@@ -61,6 +76,13 @@ class Lake:
             cls._open[key] = cls(spark, f"{shared_root(spark)}/{tag}")
         return cls._open[key]
 
+    def built(self, name: str, build: Callable[[str], object]) -> str:
+        """The folder of that name, filled by ``build`` the first time it is asked for."""
+        if name not in self._have:
+            build(self.path(name))
+            self._have.add(name)
+        return self.path(name)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -183,7 +183,7 @@ def cross_validate(c: Candidate, df: DataFrame, features: list[str], target: str
     years = [r[0] for r in df.select(F.year("dt_ref")).distinct().collect()]
     scores = []
     for year in ev.fold_years(years, n_folds):
-        train, val = df.where(F.year("dt_ref") < year), df.where(F.year("dt_ref") == year)
+        train, val = df.where(F.col("dt_ref") < F.lit(f"{year}-01-01").cast("date")), _season(df, year)
         balance = ev.class_balance(val, target).first()
         if not balance["n_pos"] or not balance["n_neg"]:
             scores.append(float(balance["rate"] or 0.0))
