@@ -196,16 +196,29 @@ query("a7_attach_session_meta", sql("""
         t.results.select("year", "round_number", "mode", "air_temp", "rainfall").distinct(), ["year", "round_number", "mode"]))
 
 
+# Each mean of a session has readings of its own.
+_SCALED = {"AirTemp": "value", "TrackTemp": "value + 1", "Humidity": "value * 2", "Pressure": "value + event_id % 7",
+           "WindSpeed": "value / 4", "WindDirection": "value * 3 - 1"}
+
+
 def _weather(t):
-    readings = t.table("events").select(F.to_date("ts").alias("day"), "value", (F.col("event_type") == "error").alias("rain"))
-    return src.session_weather(readings.where(F.dayofmonth("day") % 5 != 0), ["day"], {"AirTemp": "value"}, "rain")
+    readings = t.table("events").select(F.to_date("ts").alias("day"), *[F.expr(e).alias(f"r_{n}") for n, e in _SCALED.items()],
+                                        (F.col("event_type") == "error").alias("rain"))
+    return src.session_weather(readings, ["day"], {n: f"r_{n}" for n in _SCALED}, "rain")
+
+
+def _all_days(t):
+    """Days with readings, and days of orders that mostly have none."""
+    return t.table("events").select(F.to_date("ts").alias("day")).union(
+        t.table("orders").select(F.to_date("o_orderdate").alias("day"))).distinct()
 
 
-query("a8_session_weather", """
-    SELECT d.day, round(w.t + 1e-9, 6) AS "AirTemp", w.r AS "Rainfall" FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d
-    LEFT JOIN (SELECT CAST(ts AS DATE) AS day, AVG(value) AS t, MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS r
-               FROM events WHERE day(ts) % 5 <> 0 GROUP BY 1) w ON w.day = d.day""")(
-    lambda t: rounded(src.with_weather(t.table("events").select(F.to_date("ts").alias("day")).distinct(), _weather(t), ["day"])))
+query("a8_session_weather", f"""
+    WITH d AS (SELECT CAST(ts AS DATE) AS day FROM events UNION SELECT CAST(o_orderdate AS DATE) FROM orders),
+    w AS (SELECT CAST(ts AS DATE) AS day, {", ".join(f"AVG({e}) AS r_{n}" for n, e in _SCALED.items())},
+                 MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS r FROM events GROUP BY 1)
+    SELECT d.day, {", ".join(f'round(r_{n} + 1e-9, 6) AS "{n}"' for n in _SCALED)}, w.r AS "Rainfall" FROM d LEFT JOIN w USING (day)""")(
+    lambda t: rounded(src.with_weather(_all_days(t), _weather(t), ["day"])))
 
 
 def lake_root(t):

@@ -220,7 +220,7 @@ query("w13_last_non_null", sql(
     _last_sql("results", "driverid", ["air_temp", "points", "position"], "mode = 'Race'").replace("dt_ref", "event_date"), "results"),
     )(lambda t: ex.last_values(ex.races(t.results), "driverid", ["air_temp", "points", "position"], "event_date"))
 
-from pitwall.plans.training import CHAMPION_FEATURES, TEAM_EXPLORER_FEATURES  # noqa: E402
+from pitwall.plans.training import CHAMPION_FEATURES, DEPARTURE_FEATURES, TEAM_EXPLORER_FEATURES, TEAM_FEATURES
 
 
 def _corr_sql(tb, cols, where):
@@ -398,6 +398,14 @@ query("b13_season_filter", sql(f"SELECT dt_ref, driverid, cum_points FROM driver
 query("b15_curated_features", sql(f"SELECT dt_ref, driverid, {rr(CHAMPION_FEATURES)}, fl_champion FROM t3", "t3"),
       )(lambda t: t.abt_champions_inseason.select(
           "dt_ref", "driverid", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in CHAMPION_FEATURES], "fl_champion"))
+for _name, _list, _step, _key, _of in (
+        ("team", TEAM_FEATURES, "t4", "teamid", lambda t: t.abt_teams_inseason),
+        ("team_explorer", TEAM_EXPLORER_FEATURES, "t4", "teamid", lambda t: t.abt_teams_inseason),
+        ("departure", DEPARTURE_FEATURES, "t6", "driverid", lambda t: t.abt_departures_inseason)):
+    query(f"b15_curated_{_name}_features", sql(
+        f"SELECT dt_ref, {_key}, {', '.join(f'round(CAST({c} AS DOUBLE) + 1e-9, 6) AS {c}' for c in _list)} FROM {_step}", _step),
+          )(lambda t, names=_list, key=_key, of=_of: of(t).select(
+              "dt_ref", key, *[F.round(F.col(c).cast("double") + 1e-9, 6).alias(c) for c in names]))
 query("b17_entities_and_years", sql("""
     SELECT driverid, year, round_number, points FROM races WHERE driverid IN (1, 2, 3) AND year BETWEEN 1997 AND 1999""", "races"),
     )(lambda t: ex.races(t.results).where(F.col("driverid").isin(1, 2, 3) & F.col("year").between(1997, 1999)).select(

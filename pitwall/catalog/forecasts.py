@@ -10,8 +10,8 @@ from pitwall.operators import evaluation as ev, forecast as fc
 
 Y = 1999
 step("signal", f"""
-SELECT f.driverid, f.dt_ref, r.full_name, r.team_name, CAST(COALESCE(total_points_last10, 0) AS DOUBLE) AS score
-FROM fs_all f JOIN (SELECT DISTINCT driverid, event_date, full_name, team_name FROM scored) r
+SELECT f.driverid, f.dt_ref, r.full_name, r.team_name, r.team_color, CAST(COALESCE(total_points_last10, 0) AS DOUBLE) AS score
+FROM fs_all f JOIN (SELECT DISTINCT driverid, event_date, full_name, team_name, team_color FROM scored) r
   ON r.driverid = f.driverid AND r.event_date = f.dt_ref""", "fs_all", "scored")
 step("team_sum", f"""
 SELECT r.teamid, r.team_name, r.event_date AS dt_ref, SUM(CAST(COALESCE(total_points_last10, 0) AS DOUBLE)) AS score

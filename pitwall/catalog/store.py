@@ -57,5 +57,8 @@ query("j1_past_sessions", sql("""
     SELECT dt_ref, driverid, COUNT(*) AS sessions, CAST(SUM(points) AS BIGINT) AS points FROM past GROUP BY ALL""", "past"),
     )(lambda t: past_totals(t.results))
 query("j6_join_windows", sql("""
-    SELECT dt_ref, driverid, qtd_wins_last10, qtd_wins_last40 FROM fs_last10 JOIN fs_last40 USING (dt_ref, driverid)""", "fs_last10", "fs_last40"),
-    )(lambda t: join_windows([driver_window(t.results, n, f"last{n}").select(*KEYS, f"qtd_wins_last{n}") for n in (10, 40)], KEYS))
+    SELECT dt_ref, driverid, qtd_wins_life, qtd_wins_last10, qtd_wins_last20, qtd_wins_last40 FROM fs_life
+    JOIN fs_last10 USING (dt_ref, driverid) JOIN fs_last20 USING (dt_ref, driverid) JOIN fs_last40 USING (dt_ref, driverid)""",
+    "fs_life", "fs_last10", "fs_last20", "fs_last40"),
+    )(lambda t: join_windows([driver_window(t.results, n, k).select(*KEYS, f"qtd_wins_{k}")
+                              for k, n in (("life", None), ("last10", 10), ("last20", 20), ("last40", 40))], KEYS))

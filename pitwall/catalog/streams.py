@@ -20,12 +20,28 @@ def _events(t):
     return st.new_files(t.spark, t.sf_dir, t.table("events").schema, "events*.parquet")
 
 
+def _land(t, folder, where):
+    """One more file for each day that ``where`` names."""
+    events = t.table("events").where(where)
+    events.repartition(F.to_date("ts")).write.mode("append").option("maxRecordsPerFile", 20_000).parquet(folder)
+
+
+def _landed(t, folder):
+    return st.new_files(t.spark, folder, t.table("events").schema, max_files=2)
+
+
+NEWEST = "ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM all_events)"
+
+
 @query("n1_ingest_stream", "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n, round(SUM(value), 2) AS total FROM events GROUP BY 1")
 def ingested(t):
-    """Started twice: the second start finds nothing new."""
+    """Started three times: many files, then only the files of the newest day, then none."""
     path, state = _fresh(t, "ingested")
-    for _ in range(2):
-        st.ingest(_events(t), path, state).awaitTermination()
+    folder = f"{path}_landing"
+    t.table("events").createOrReplaceTempView("all_events")
+    for where in (f"NOT {NEWEST}", NEWEST, "false"):
+        _land(t, folder, where)
+        st.ingest(_landed(t, folder), path, state).awaitTermination()
     return t.spark.read.parquet(path).groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -34,11 +50,17 @@ def ingested(t):
     SELECT CAST(ts AS DATE) AS day, user_id, event_type, event_id FROM events
     QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id, event_type ORDER BY ts DESC) = 1""")
 def newest_events(t):
+    """Older rows of the newest day arrive after newer ones, and a replay changes nothing."""
     path, state = _fresh(t, "newest")
-    stream = _events(t).withColumn("day", F.to_date("ts"))
-    st.keep_newest(stream, path, state, ["day", "user_id", "event_type"], "ts", "day").awaitTermination()
+    folder = f"{path}_landing"
+    t.table("events").createOrReplaceTempView("all_events")
+    key = ["day", "user_id", "event_type"]
+    for where in (f"event_type <> 'view' AND {NEWEST}", f"NOT {NEWEST} OR event_type = 'view'"):
+        _land(t, folder, where)
+        stream = st.new_files(t.spark, folder, t.table("events").schema).withColumn("day", F.to_date("ts"))
+        st.keep_newest(stream, path, state, key, "ts", "day").awaitTermination()
     # A second pass with fresh state replays every batch onto the same table.
-    st.keep_newest(stream, path, state + "_again", ["day", "user_id", "event_type"], "ts", "day").awaitTermination()
+    st.keep_newest(stream, path, state + "_again", key, "ts", "day").awaitTermination()
     return t.spark.read.parquet(path).select("day", "user_id", "event_type", "event_id")
 
 

@@ -24,10 +24,10 @@ def _roster(results: DataFrame, cols: list[str], year: int | None) -> DataFrame:
 
 def points_signal(features: DataFrame, results: DataFrame, year: int | None = None) -> DataFrame:
     """Recent points of each entrant present on a race date."""
-    roster = _roster(results, ["driverid", "full_name", "team_name"], year)
+    roster = _roster(results, ["driverid", "full_name", "team_name", "team_color"], year)
     f = features.select("driverid", "dt_ref", "total_points_last10")
     return f.join(roster, ["driverid", "dt_ref"]).select(
-        "driverid", "dt_ref", "full_name", "team_name",
+        "driverid", "dt_ref", "full_name", "team_name", "team_color",
         F.coalesce(F.col("total_points_last10").cast("double"), F.lit(0.0)).alias("score"))
 
 

@@ -102,7 +102,7 @@ class Candidate:
 
 
 # Defaults and search ranges. ("int", low, high, step), ("float", low,
-# high), ("log", low, high) or ("pick", choices).
+# high), ("log", low, high), ("share", low, high), a fraction as text, or ("pick", choices).
 CANDIDATES = {
     "LogisticRegression": Candidate(
         "LogisticRegression", LogisticRegression, {"maxIter": 200, "tol": 1e-3}, {
@@ -111,7 +111,8 @@ CANDIDATES = {
         "GradientBoosting", GBTClassifier,
         {"maxIter": 200, "maxDepth": 3, "stepSize": 0.01, "minInstancesPerNode": 200, "seed": 42}, {
             "maxIter": ("int", 50, 500, 50), "maxDepth": ("int", 2, 6, 1), "stepSize": ("log", 0.005, 0.1),
-            "subsamplingRate": ("float", 0.5, 0.9), "minInstancesPerNode": ("int", 5, 100, 1)}, early_stop=True),
+            "subsamplingRate": ("float", 0.5, 0.9), "featureSubsetStrategy": ("share", 0.3, 0.8),
+            "minInstancesPerNode": ("int", 5, 100, 1)}, early_stop=True),
     "BalancedRandomForest": Candidate(
         "BalancedRandomForest", RandomForestClassifier,
         {"numTrees": 500, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt",
@@ -203,6 +204,8 @@ def draws(space: dict, n: int, seed: int = 42, overrides: dict | None = None) ->
             return rnd.randrange(a[0], a[1] + 1, a[2])
         if kind == "float":
             return rnd.uniform(*a)
+        if kind == "share":
+            return f"{rnd.uniform(*a):.4f}"
         if kind == "log":
             return math.exp(rnd.uniform(math.log(a[0]), math.log(a[1])))
         return rnd.choice(a[0])
