@@ -4,7 +4,8 @@ A byte-level BPE never merges across the pieces its pre-tokenizer cuts. So a tex
 is cut into the same pieces here, each distinct piece is encoded once by the
 library, and a text's ids are the joined ids of its pieces. Texts with characters
 outside the plain Latin range are cut at white space only, which every
-pre-tokenizer here respects too.
+pre-tokenizer here respects too. New pieces are encoded some hundred at a time,
+glued by white space that no merge crosses.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ _encoders: dict[tuple[str, str], "Encoder"] = {}
 class Encoder:
     """``kind`` is "byte" for a byte-level vocabulary that keeps white space, "word" for one that drops it."""
 
-    MAX_WORDS = 500_000
+    MAX_WORDS = 200_000
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -44,22 +45,51 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._fine, self._coarse, self._lower = _FINE[kind], _COARSE[kind], kind == "word"
         self._known: dict[str, bytes] = {}
+        # How words that are encoded together are told apart again.
+        self._glue = " " if self._lower else "\n"
+        self._feed = self._tok.encode("\n", add_special_tokens=False).ids[:1]
+        self._ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self._tok.get_vocab_size(), bool)
+        if self._lower:
+            self._ends[[i for t, i in self._tok.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _learn(self, cut: list[list[str]]) -> None:
-        words = set().union(*cut)
-        new = words.difference(self._known)
-        if len(self._known) + len(new) > self.MAX_WORDS:
+    def _learn(self, fine: list[list[str]], coarse: list[list[str]]) -> None:
+        plain, odd = set().union(*fine), set().union(*coarse)
+        new = plain.difference(self._known), odd.difference(self._known)
+        if len(self._known) + len(new[0]) + len(new[1]) > self.MAX_WORDS:
             self._known.clear()
-            new = words
-        new = list(new)
-        for w, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False)):
+            new = plain, odd
+        spaces = {w for w in new[0] if w.isspace()}
+        self._each(list(new[1] | spaces))
+        words = list(new[0] - spaces)
+        together = [words[i:i + 200] for i in range(0, len(words), 200)]
+        coded = self._tok.encode_batch_fast([self._glue.join(w) for w in together], add_special_tokens=False)
+        for some, e in zip(together, coded):
+            self._several(some, np.array(e.ids, self.dtype))
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self._tok.encode_batch_fast(words, add_special_tokens=False)):
             self._known[w] = np.array(e.ids, self.dtype).tobytes()
 
+    def _several(self, words: list[str], ids: np.ndarray) -> None:
+        """Part the ids of words encoded together: after a word's end, or at the line feeds between them."""
+        if self._lower:
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+        else:
+            feeds = np.flatnonzero(ids == self._feed)
+            starts, ends = np.concatenate([[0], feeds + 1]), np.append(feeds, len(ids))
+        if len(ends) != len(words):
+            return self._each(words)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        for w, a, b in zip(words, (size * starts).tolist(), (size * ends).tolist()):
+            self._known[w] = raw[a:b]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``self.dtype`` wide."""
-        cut = [self._coarse.findall(t) if _ODD.search(t) else self._fine.findall(t.lower() if self._lower else t)
-               for t in texts]
-        self._learn(cut)
+        odd = [_ODD.search(t) is not None for t in texts]
+        cut = [self._coarse.findall(t) if o else self._fine.findall(t.lower() if self._lower else t)
+               for t, o in zip(texts, odd)]
+        self._learn([c for c, o in zip(cut, odd) if not o], [c for c, o in zip(cut, odd) if o])
         get = self._known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
