@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitwall.plans.lake import shared_root
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,7 +31,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the n + 1 offsets into them; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     if n == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
@@ -53,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             upto = min(n, max(at + 1, upto))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -64,6 +67,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """An int for each of n partitions that Spark's hash sends there: equal shares for n buckets."""
+    keys = spark.range(50 * n + 100).select(F.col("id").cast("int").alias("k"))
+    rows = keys.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    found = {r["p"]: r["k"] for r in rows}
+    return [found.get(p, -1 - p) for p in range(n)]
+
+
 def rows_per_group(rows: int, per_group: int) -> int:
     return max(1, -(-rows // per_group))
 
