@@ -16,8 +16,10 @@ a smaller doc_id. Strings are judged on the input; matches never cross documents
    places with a common prefix of that length share their least document.
 4. The covered ranges of a document are joined to its text and cut out.
 
-An anchor with more than ``long_group`` different contexts is not put in one
-transform: the windows of its contexts are grouped by their bytes, which Spark
+An anchor that one document in ``COMMON`` has would bring a share of the corpus to one
+task. Such anchors are found in a sample and dealt by their contexts, so that equal
+ones still meet. They, and anchors with more than ``long_group`` different contexts,
+are not put in one transform: the windows of its contexts are grouped by their bytes, which Spark
 reduces before the shuffle. Transforms are built for whole anchors, about
 ``part_bytes`` at a time.
 
@@ -38,14 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from pitwall.llm.bwt import STOP, repeats
-from pitwall.llm.common import ragged, rows_per_group, slices, stored, texts_of
+from pitwall.llm.common import partition_keys, ragged, rows_per_group, slices, stored, texts_of
 from pitwall.llm.words import _BASE, _INVERSE, _VALUE, _power, mix
 
 GRAM = 16
+SAMPLE = 64
+COMMON = 200
 _LOW = np.uint64((1 << 22) - 1)
 RANGES = "doc_id long, tag long, start int, end int"
 _DEALT = [("doc", "<u4"), ("start", "<u4"), ("n", "u1"), ("hash", "<u4"), ("left", "u1"), ("right", "u1"),
-          ("low", "<u4"), ("high", "<u2")]
+          ("low", "<u4"), ("high", "<u2"), ("common", "u1")]
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -117,16 +121,43 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray
     return ids[doc], tags[doc], columns
 
 
-def _deal(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Contexts by bucket of their anchor. Equal contexts of a slice are there once, but for rows of one document.
+def _common(docs: DataFrame, length: int, least: int) -> np.ndarray:
+    """Anchors met in over 1/COMMON of a sample of the documents, and in ``least`` of them at least.
+
+    Which anchors are named only decides how they are dealt, so the sample changes no result.
+    Documents have anchors in proportion to their bytes, so there are at most COMMON times
+    as many as in a mean document.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max_bytes=1 << 19):
+            data, offsets = texts_of(batch.column("text"))
+            if len(data) >= length:
+                doc, _, _, anchor, *_ = _anchors(data, offsets, length)
+                order = np.lexsort((anchor, doc))
+                doc, anchor = doc[order], anchor[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+                found, n = np.unique(anchor[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    many = counts.where(F.col("n") * COMMON > some.count()).select("anchor").toPandas()
+    return np.sort(many["anchor"].to_numpy(np.int64).view(np.uint64))
+
+
+def _deal(docs: DataFrame, length: int, buckets: int, common: np.ndarray) -> DataFrame:
+    """Contexts by bucket of their anchor, a bucket to each partition. Equal contexts of a slice are there once, but for rows of one document.
 
     Contexts settled within a slice come along with hash, left and right of zero and an own bucket.
     """
+    keys = partition_keys(docs.sparkSession, buckets)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=16 << 20):
+        for batch in slices(batches, max_bytes=8 << 20):
             ids, tags = np.asarray(batch.column("doc_id")), np.asarray(batch.column("tag"))
             parts, rows = [], 0
-            for piece in slices(iter([batch]), max_bytes=1 << 21):
+            for piece in slices(iter([batch]), max_bytes=1 << 19):
                 data, offsets = texts_of(piece.column("text"))
                 if len(data) >= length:
                     got = _anchors(data, offsets, length)
@@ -143,13 +174,15 @@ def _deal(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             settled = np.zeros(len(w), bool)
             settled[order] = d != least
             bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
-            bucket[settled] = whole[settled] % np.uint64(buckets)
+            frequent = np.isin(anchor, common)
+            apart = settled | frequent  # common anchors are dealt by their contexts
+            bucket[apart] = whole[apart] % np.uint64(buckets)
             hash_ = np.where(settled, 0, (anchor & np.uint64(0xFFFFFFFF)) | np.uint64(1))
             columns = {"doc": doc, "start": start, "n": n, "hash": hash_, "left": _side(left), "right": _side(right),
-                       "low": whole & np.uint64(0xFFFFFFFF), "high": whole >> np.uint64(48)}
+                       "low": whole & np.uint64(0xFFFFFFFF), "high": whole >> np.uint64(48), "common": frequent}
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-            out = [(i, _pack(ids, tags, {c: v[by[a:b]] for c, v in columns.items()}))
+            out = [(keys[i], _pack(ids, tags, {c: v[by[a:b]] for c, v in columns.items()}))
                    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())],
@@ -181,7 +214,7 @@ def _meet(dealt: DataFrame, length: int, long_group: int) -> DataFrame:
         kind = np.full(len(ids), -1, np.int8)
         kind[c["hash"] == 0] = 0
         live = np.flatnonzero(c["hash"] != 0)
-        live = live[_shared([c["hash"][live]], ids[live])]
+        live = live[_shared([c["hash"][live]], ids[live]) | (c["common"][live] > 0)]
         h, doc = c["hash"][live], ids[live]
         whole = c["low"][live].astype(np.int64) << 16 | c["high"][live]
         order = np.lexsort((doc, whole, h))
@@ -199,6 +232,7 @@ def _meet(dealt: DataFrame, length: int, long_group: int) -> DataFrame:
         rep = np.flatnonzero(side & (doc == least))
         n = size[np.searchsorted(groups, h[rep])] if len(rep) else rep
         kind[live[rep]] = np.where(n > long_group, 2, np.where(n > 1, 1, -1))
+        kind[live[(c["common"][live] > 0) & (doc == least)]] = 2  # others may be in other buckets
         some = np.flatnonzero(kind >= 0)
         key = (np.int64(bucket) << 32) | c["hash"][some].astype(np.int64)
         return pa.RecordBatch.from_arrays(
@@ -221,7 +255,7 @@ def _meet(dealt: DataFrame, length: int, long_group: int) -> DataFrame:
 def _cut_out(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The bytes of every context that is asked for."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 21):
+        for batch in slices(batches, max_bytes=1 << 19):
             data, offsets = texts_of(batch.column("text"))
             lists = batch.column("asked")
             flat, n = lists.flatten(), np.diff(np.asarray(lists.offsets))
@@ -319,7 +353,7 @@ def _by_window(contexts: DataFrame, length: int) -> DataFrame:
 
 def _kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 22):
+        for batch in slices(batches):
             data, offsets = texts_of(batch.column("text"))
             lists = batch.column("ranges").fill_null([])
             flat, n = lists.flatten(), np.diff(np.asarray(lists.offsets))
@@ -348,8 +382,8 @@ def _kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 << 20, long_group: int = 20_000,
-                   part_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, long_group: int = 2000,
+                   part_bytes: int = 1 << 20, common_least: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and the kept bytes of every row."""
     if not GRAM <= length <= 250:
         raise ValueError(f"length is {GRAM} to 250")
@@ -360,7 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 <<
     docs = docs.withColumn("tag", F.xxhash64("text") if (repeated or 0) > 1 else F.lit(0).cast("long"))
     named = docs.where("doc_id IS NOT NULL")
     buckets = rows_per_group(total or 0, bucket_bytes)
-    met = stored(_meet(_deal(named, length, buckets), length, long_group), "contexts")
+    common = _common(named, length, common_least)
+    met = stored(_meet(_deal(named, length, buckets, common), length, long_group), "contexts")
     contexts = stored(_cut_out(named.dropDuplicates(["doc_id", "tag"]) if (repeated or 0) > 1 else named,
                                met.where("kind > 0")), "asked")
     ranges = met.where("kind = 0").select("doc_id", "tag", "start", "end").unionByName(

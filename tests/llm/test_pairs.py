@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm.shapes import LONG, ROWS, odd, rows_of
+from pitwall.llm import substrings
 from pitwall.llm.bwt import repeats
 from pitwall.llm.components import components
 from pitwall.llm.decontaminate import contaminated_out, contamination_hits
@@ -153,8 +154,12 @@ def brute_removal(rows, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 1000, "long_group": 2, "part_bytes": 200}, {"length": 20}])
-def test_repeated_substrings(spark, options):
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 1000, "long_group": 2, "part_bytes": 200}, {"length": 20},
+                                     {"bucket_bytes": 1000, "common_least": 1}])
+def test_repeated_substrings(spark, options, monkeypatch):
+    if "common_least" in options:  # many anchors count as common
+        monkeypatch.setattr(substrings, "SAMPLE", 2)
+        monkeypatch.setattr(substrings, "COMMON", 10)
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh") for _ in range(400))
     noise = lambda n: "".join(rng.choice("xyz") for _ in range(rng.randint(0, n)))
