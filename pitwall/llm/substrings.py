@@ -46,14 +46,30 @@ from pitwall.llm.words import _BASE, _INVERSE, _VALUE, _power, mix
 GRAM = 16
 SAMPLE = 64
 COMMON = 200
-_LOW = np.uint64((1 << 22) - 1)
+PIECE = 1 << 19
+_LOW = np.uint64((1 << 22) - 1)  # bits of a position in a piece
 RANGES = "doc_id long, tag long, start int, end int"
 _DEALT = [("doc", "<u4"), ("start", "<u4"), ("n", "u1"), ("hash", "<u4"), ("left", "u1"), ("right", "u1"),
           ("low", "<u4"), ("high", "<u2"), ("common", "u1")]
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Contexts of a batch: document, start, windows, anchor hash, hashes of the whole, left and right."""
+    """Contexts of a batch: document, start, windows, anchor hash, hashes of the whole, left and right.
+
+    Over ``PIECE`` bytes are cut into pieces that overlap by length - 1 bytes, so every window is in one of them.
+    """
+    if len(data) <= PIECE:
+        return _contexts(data, offsets, length)
+    parts = []
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for at in range(a, b - length + 1, PIECE - length + 1):
+            piece = data[at:min(b, at + PIECE)]
+            doc, start, *others = _contexts(piece, np.array([0, len(piece)]), length)
+            parts.append((doc + row, start + at - a, *others))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _contexts(data: np.ndarray, offsets: np.ndarray, length: int):
     n = len(data)
     grams, m = _VALUE[data], 1
     while m < GRAM:
@@ -129,7 +145,7 @@ def _common(docs: DataFrame, length: int, least: int) -> np.ndarray:
     as many as in a mean document.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 19):
+        for batch in slices(batches, max_bytes=PIECE):
             data, offsets = texts_of(batch.column("text"))
             if len(data) >= length:
                 doc, _, _, anchor, *_ = _anchors(data, offsets, length)
@@ -157,7 +173,7 @@ def _deal(docs: DataFrame, length: int, buckets: int, common: np.ndarray) -> Dat
         for batch in slices(batches, max_bytes=8 << 20):
             ids, tags = np.asarray(batch.column("doc_id")), np.asarray(batch.column("tag"))
             parts, rows = [], 0
-            for piece in slices(iter([batch]), max_bytes=1 << 19):
+            for piece in slices(iter([batch]), max_bytes=PIECE):
                 data, offsets = texts_of(piece.column("text"))
                 if len(data) >= length:
                     got = _anchors(data, offsets, length)

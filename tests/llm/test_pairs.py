@@ -173,5 +173,41 @@ def test_repeated_substrings(spark, options, monkeypatch):
     assert rows_of(got) == brute_removal(rows, options.get("length", 50))
 
 
+def test_repeats_beyond_four_mebibytes(spark):
+    rng = np.random.default_rng(5)
+    say = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passages = [say(300) for _ in range(3)]
+    at = [(4 << 20) + 5, (8 << 20) + 11, substrings.PIECE - 150]  # the last across the end of a piece
+    parts, end = [], 0
+    for a, p in sorted(zip(at, passages)):
+        parts += [say(a - end), p]
+        end = a + len(p)
+    long = "".join(parts) + say(1000)
+    short = [(10 + i, f"{say(40)}.{p}.{say(40)}") for i, p in enumerate(passages)]
+    for rows in ([(1, long), *short], [*short, (99, long)]):
+        got = {r["doc_id"]: r for r in remove_repeats(odd(spark, [(*r, None, None, None) for r in rows])).collect()}
+        least = rows[0][0]
+        want = {i: 0 if i == 1 or i < 99 and least == 10 else 900 if i == 99 else 300 for i, _ in rows}
+        assert {i: r["n_removed"] for i, r in got.items()} == want
+        for i, t in rows:
+            kept = t
+            for p in passages if want[i] else ():
+                kept = kept.replace(p, "")
+            assert bytes(got[i]["kept"]) == kept.encode()
+
+
+def test_pieces_have_the_windows_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    offsets = np.array([0, 3000, 3000, 3020, 7000, 7060])
+    data = rng.integers(97, 99, 7060, np.uint8)
+
+    def windows():
+        doc, start, n, anchor, *_ = substrings._anchors(data, offsets, 50)
+        return sorted((d, s + i, h) for d, s, n, h in zip(doc.tolist(), start.tolist(), n.tolist(), anchor.tolist()) for i in range(n))
+    want = windows()
+    monkeypatch.setattr(substrings, "PIECE", 256)
+    assert windows() == want and len(want) == 2951 + 3931 + 11
+
+
 def test_no_documents(spark):
     assert remove_repeats(odd(spark).limit(0)).count() == 0
