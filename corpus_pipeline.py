@@ -6,14 +6,16 @@ Parquet in the shared folder and reads it back, so a lost executor never costs m
 than the tasks of one stage.
 
 1. quality classifier: documents the resampling rejects go
-2. SimHash near-dedup: the document with the least id of each group stays
+2. SimHash near-dedup: one document of each group stays, the one with the least id
 3. benchmark decontamination: contaminated documents go
 4. secret scans: reported spans are replaced by a mark
 5. best-fit packing: the rest becomes sequences of at most 4096 tokens
 
-Rows of one doc_id count as one document in stage 2, which keeps the first of them by
-the hash of their texts; so do rows with a null doc_id, which stay only if a group
-has none other.
+Stage 2 keeps one row of each group. Rows with a null doc_id are documents of their
+own there and come after all ids; of equal ids the least hash of the text comes first.
+Rows of one doc_id count as one document and only one of them is kept: if they are in
+several groups it stands for the smallest of these that picks it, and the others take
+their next document. A group goes without only if each of its documents stands for another.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pitwall.llm.decontaminate import contaminated_out
 from pitwall.llm.packing import pack_documents
 from pitwall.llm.quality import resample
 from pitwall.llm.secrets import redact
-from pitwall.llm.simhash import simhash_groups
+from pitwall.llm.simhash import simhash_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +40,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drawn.select(*docs.columns)
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """doc_id, h1 and h2 of the row that stays of each group ``root``; no doc_id is there twice but null."""
+    texts = stored(rows.groupBy("root", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("text")), "texts")
+    left, out = texts, None
+    while True:
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text")
+        picks = stored(left.groupBy("root").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("size")).select(
+            "root", "size", "p.doc_id", "p.text"), "picks")
+        named = picks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("size", "root", "text")).alias("p"))
+        won = stored(named.select("doc_id", "p.root", "p.text").unionByName(
+            picks.where("doc_id IS NULL").select("doc_id", "root", "text")), "won")
+        out = won if out is None else out.unionByName(won)
+        if won.count() == picks.count():
+            return out.select("doc_id", "text.h1", "text.h2")
+        left = left.join(won.select("root"), "root", "left_anti")
+        left = stored(left.join(won.select("doc_id"), "doc_id", "left_anti"), "left")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_groups(docs, shingle=3, max_bits=2)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))  # dealt by doc_id, as the join left them
-    kept = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.row_number().over(one).alias("n"))
-    return kept.where("n = 1").select("doc.*")
+    hashes = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
+    rows = simhash_rows(docs.select("doc_id", "text", *hashes), shingle=3, max_bits=2, carried=("h1", "h2"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key, *hashes).join(
+        _one_of_each(rows).select(*key, "h1", "h2"), ["id", "none", "h1", "h2"], "left_semi")
+    one = W.partitionBy("id", "none", "h1", "h2").orderBy("h1")  # equal rows, dealt as the join left them
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,18 +64,19 @@ def _majority(digests: list[bytes], counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and the 64-bit fingerprint ``fp`` of each row's whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the 64-bit fingerprint ``fp`` of each row's whole text, with the longs in ``carried``."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 20):
             each = [_shingle_digests(t, shingle) for t in batch.column("text").to_pylist()]
             counts = np.array([len(d) for d in each], np.int64)
             fp = _majority([x for d in each for x in d], counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                [batch.column("doc_id"), pa.array(fp.view(np.int64)), *[batch.column(c) for c in carried]],
+                names=["doc_id", "fp", *carried])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried)
+    return rows.mapInArrow(scan, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def _blocks(max_bits: int) -> list[int]:
@@ -129,19 +130,25 @@ def links(nodes: DataFrame, max_bits: int = 2, long_list: int = 64) -> DataFrame
     return short.unionByName(long).distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
-    prints = stored(fingerprints(docs, shingle), "fingerprints")
+def simhash_rows(docs: DataFrame, shingle: int = 3, max_bits: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id, root (the component's least fingerprint) and the longs in ``carried`` of each row."""
+    prints = stored(fingerprints(docs, shingle, carried), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes, max_bits))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
+    linked = linked.join(least, "root").select("fp", "component_id", "root")
     classes = stored(nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "classes")
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n"), "classes")
     # fingerprints with over 1/HOT of all rows are fewer than HOT, and their rows need no shuffle
     often = F.col("n") * HOT > prints.count()
-    hot = F.broadcast(classes.where(often).select("fp", "component_id"))
-    rows = prints.join(hot, "fp").unionByName(
-        prints.join(hot, "fp", "left_anti").join(classes.where(~often).select("fp", "component_id"), "fp"))
+    hot, others = (classes.where(c).select("fp", "component_id", "root") for c in (often, ~often))
+    hot = F.broadcast(hot)
+    rows = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(others, "fp"))
+    return rows.select("doc_id", "fp", "component_id", "root", *carried)
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
+    rows = simhash_rows(docs, shingle, max_bits)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

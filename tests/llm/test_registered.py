@@ -68,3 +68,15 @@ def test_stages_stand_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert secrets.redact(docs).count() == docs.count()
     assert corpus_pipeline.STAGES[1][1](spark, docs, SF).where("doc_id = 1").count() == 1
+
+
+def test_near_duplicates_keep_one_of_each_group(spark):
+    import random
+    from llm.shapes import SCHEMA
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"{x}{rng.randrange(10 ** 6)}" for _ in range(80)) for x in "abcdef")
+    # distinct texts without an id, a copy of a kept document without one, and ids with two texts
+    pairs = [(None, a), (None, b), (None, b), (None, c), (9, c), (1, d), (2, d), (1, e), (3, f), (4, f), (3, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, a), (None, b), (9, c), (2, d), (1, e), (3, f)]))
