@@ -74,8 +74,8 @@ def winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_license_alignment")
 def license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pitwall.llm.licenses import notices, scan_licenses
-    return scan_licenses(table(spark, sf_dir, "documents"), notices(spark))
+    from pitwall.llm.licenses import scan_licenses, templates
+    return scan_licenses(table(spark, sf_dir, "documents"), templates(spark))
 
 
 @query("op6_simhash_groups")

@@ -126,6 +126,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0), licenses.notices(spark)).count() == 0
 
 
+def test_license_bodies_and_changed_notices(spark):
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    body = {n: (folder / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-2", "ISC", "MIT")}
+    rows = [(1, f"x {body['Apache-2.0']} y"), (2, body["GPL-2"].replace("Foundation", "Society")), (3, body["ISC"].split("\n\n")[1]),
+            (4, body["MIT"].split("\n\n")[2].replace("AUTHORS", "WRITERS")), (5, "It is released under our MIT License today."), (6, "Licensed under the Foo License.")]
+    docs = odd(spark, [(*r, None, None, None) for r in rows])
+    got = licenses.scan_licenses(docs, licenses.templates(spark)).collect()
+    found = {(r["doc_id"], r["license"]) for r in got}
+    assert {(1, "Apache-2.0"), (2, "GPL-2"), (3, "ISC"), (4, "MIT"), (5, "MIT")} <= found
+    assert 6 not in {r["doc_id"] for r in got}
+    assert max(r["matched"] for r in got if r["doc_id"] == 1) > 1500 and max(r["matched"] for r in got if r["doc_id"] == 2) > 2500
+    assert [(rows[4][1][r["start"]:r["end"]], r["coverage"]) for r in got if r["doc_id"] == 5] == [("released under our MIT License", 0.8)]
+
+
 @pytest.mark.parametrize("options", [{}, {"block": 5, "query_block": 3, "seeds": 1, "group": 2}])
 def test_top_k(spark, options):
     rng = np.random.default_rng(3)
