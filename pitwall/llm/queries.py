@@ -158,3 +158,35 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_segment_negatives", """
+WITH e AS (SELECT vec_id, min({'label': CAST(label AS BIGINT), 'v': list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))}) AS m
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           GROUP BY vec_id),
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (m.label + 1) % 10 ELSE m.label END AS label, m.v AS v FROM e),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM r a, r b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth row; where the id is divisible by 7 the label is moved on by one first."""
+    from pitwall.llm.negatives import labelled_vectors, mine
+    rows = labelled_vectors(table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op12_weighted_whitening")
+def weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.whitening import components_of, whiten, whole_rows
+    return components_of(whiten(whole_rows(table(spark, sf_dir, "embeddings")), components=32))
