@@ -190,3 +190,12 @@ def segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwall.llm.whitening import components_of, whiten, whole_rows
     return components_of(whiten(whole_rows(table(spark, sf_dir, "embeddings")), components=32))
+
+
+@query("op13_likelihood_rules")
+def likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwall.llm.likelihood import judge
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, name = judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.col(name)["n_words"].alias("n_words"), *[F.col(name)[f].alias(f) for f in (
+        "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "term_score", "pair_score")])
