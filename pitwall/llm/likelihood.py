@@ -11,8 +11,8 @@ The target are documents labelled of good quality and not toxic; of the labelled
 bounded sample is used, ``max_labelled`` of them by the hash of their ids, labels of one
 id merged to the worst. A fifth of it by another hash is held out of the target: on it,
 and on the bad labelled documents, the cut of each order is the score with the largest
-share of bad documents below it less ``loss`` times the share of good ones: first that
-of pairs, then that of terms among the documents that pass. Documents that a base rule
+share of bad documents below it less ``loss`` times the share of good ones, taken at its
+upper confidence limit, so that few labels make a careful cut: first that of pairs, then that of terms among the documents that pass. Documents that a base rule
 fails take no part in that choice. Raw counts cover every document.
 
 Each n-gram has a counter in two tables of its order, and the log ratio nearer to zero
@@ -111,9 +111,11 @@ def ngrams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(doc, terms), (doc[1:][joined], grams(terms, 2)[joined])]
 
 
-def counters(order: int, table: int, h: np.ndarray, size: int) -> np.ndarray:
-    """The counter of each n-gram; ``size`` is a power of two."""
-    return (mix(h ^ _SALTS[order * TABLES + table]) & np.uint64(size - 1)).astype(np.int64)
+def counters(order: int, table: int, h: np.ndarray, size: int, part: int) -> np.ndarray:
+    """The counter of each n-gram; its counters in all tables lie in the same part. Sizes are powers of two."""
+    inner = np.uint64(part - 1)
+    outer = mix(h ^ _SALTS[order * TABLES]) & np.uint64(size - 1) & ~inner
+    return (outer | mix(h ^ _SALTS[order * TABLES + table]) & inner).astype(np.int64)
 
 
 def table_size(docs: DataFrame, load: int) -> int:
@@ -132,7 +134,7 @@ def _labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
 
 def _counts(marked: DataFrame, size: int) -> DataFrame:
     """counter, raw and target: counters of all orders and tables numbered through. ``marked`` has text and target."""
-    hold = 1 << 21
+    hold, part = 1 << 21, min(size, PART)
 
     def merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, raw, target = (np.concatenate(x) for x in zip(*parts))
@@ -150,7 +152,7 @@ def _counts(marked: DataFrame, size: int) -> DataFrame:
                 distinct, inverse = np.unique(h, return_inverse=True)
                 raw, mine = np.bincount(inverse), np.bincount(inverse, target[doc]).astype(np.int64)
                 for table in range(TABLES):
-                    at = counters(order, table, distinct, size) + (order * TABLES + table) * size
+                    at = counters(order, table, distinct, size, part) + (order * TABLES + table) * size
                     parts.append((at, raw, mine))
                     held += len(at)
             if held > hold:
@@ -204,7 +206,7 @@ def _scored(docs: DataFrame, name: str, ratios: DataFrame, size: int) -> DataFra
                 for order, (doc, h) in enumerate(ngrams(text)):
                     best = None
                     for table in range(TABLES):
-                        at = counters(order, table, h, size) - first
+                        at = counters(order, table, h, size, part) - first
                         mine = (at >= 0) & (at < part)
                         value = np.where(mine, known[order * TABLES + table][np.where(mine, at, 0)], 0)
                         best = value if best is None else np.where(np.abs(value) < np.abs(best), value, best)
@@ -229,15 +231,26 @@ def _scored(docs: DataFrame, name: str, ratios: DataFrame, size: int) -> DataFra
     return docs
 
 
+def lost_at_most(below: np.ndarray, n: int, z: float = 2.0) -> np.ndarray:
+    """Upper confidence limit (Wilson) of the share of all good documents below a score that ``below`` of n have."""
+    share = below / n
+    return (share + z * z / (2 * n) + z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def _cut(scores: DataFrame, score: str, loss: float, step: float = 1 / 512) -> float:
     """The least score that is kept. ``scores`` holds good and the score of labelled documents that pass the base rules."""
     bins = scores.groupBy(F.floor(F.col(score) / step).alias("bin"), "good").count().toPandas()  # log ratios: a few thousand bins
     if bins["good"].nunique() < 2:
         return -np.inf
     table = bins.pivot_table("count", "bin", "good", "sum", fill_value=0).sort_index()
-    below = table.cumsum() / table.sum()
-    gain = (below[False] - loss * below[True]).to_numpy()
-    return float((table.index[int(np.argmax(gain))] + 1) * step) if gain.max() > 0 else -np.inf
+    below, n = table.cumsum(), table.sum()
+    gain = (below[False] / n[False] - loss * lost_at_most(below[True].to_numpy(), n[True])).to_numpy()
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return -np.inf
+    bin_ = table.index.to_numpy()
+    after = bin_[best + 1] if best + 1 < len(bin_) else bin_[best] + 1
+    return float((bin_[best] + 1 + after) / 2 * step)  # midway to the next score that occurs
 
 
 def judge(docs: DataFrame, labels: DataFrame, smoothing: float = 3.0, load: int = 32, loss: float = 5.0,

@@ -69,8 +69,8 @@ def test_negatives_of_odd_rows(spark, every):
 
 def test_negatives_whatever_the_blocks(spark, monkeypatch):
     rows = embeddings(seed=9)
-    for name, value in (("CHUNK", 3), ("COLUMNS", 16), ("GROUP_BYTES", 2000)):
-        monkeypatch.setattr(negatives, name, value)
+    monkeypatch.setattr(negatives, "CHUNK", 3)
+    monkeypatch.setattr(negatives, "GROUP_BYTES", 2000)
     assert mined(frame(spark, rows), 20) == expected(rows, 20)
 
 
@@ -95,7 +95,9 @@ def test_summaries_bound_every_score(scale):
     assert reach[0] > reach[1] > reach[2]
 
 
-def test_best_rows_of_a_group():
+@pytest.mark.parametrize("columns", [16, 4096])
+def test_best_rows_of_a_group(monkeypatch, columns):
+    monkeypatch.setattr(negatives, "COLUMNS", columns)
     rng = np.random.default_rng(2)
     labels = rng.integers(0, 3, 400)
     labels[100:300] = 1
