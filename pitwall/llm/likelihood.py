@@ -15,8 +15,8 @@ share of bad documents below it less ``loss`` times the share of good ones, take
 upper confidence limit, so that few labels make a careful cut: first that of pairs, then that of terms among the documents that pass. Documents that a base rule
 fails take no part in that choice. Raw counts cover every document.
 
-Each n-gram has a counter in two tables of its order, and the log ratio nearer to zero
-counts, so that a good term that shares one counter with a bad one takes no harm. Tables
+Each term has a counter in two tables, and the log ratio nearer to zero counts, so that a
+good term that shares one counter with a bad one takes no harm; pairs have one. Tables
 grow with the corpus as its vocabulary does: the power of two above ``load`` times the
 root of its bytes. A task holds ``PART`` counters of each table at a time; a larger table
 is applied in as many passes, each adding to the sums of the one before.
@@ -45,14 +45,15 @@ from pitwall.llm.common import slices, stored, texts_of
 from pitwall.llm.words import LOWER, classes, grams, hashes, mix, runs
 
 PART = 1 << 24
-ORDERS, TABLES = 2, 2
+TABLES = ((0, 1), (2,))  # numbers of the tables of terms and of pairs
+CHUNK = 1 << 16          # counters that travel together
 _SPACE = classes((0x09, 0x0D), (0x20, 0x20))
 _WORD = (~_SPACE).astype(np.uint8)
 _TERM = classes((0x21, 0x7E)).astype(np.uint8) * 2
 _TERM[classes((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))] = 1
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_SALTS = np.arange(1, 1 + ORDERS * TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _STRUCT = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",terms:bigint,pairs:bigint,term_sum:double,pair_sum:double>"
 
@@ -111,11 +112,11 @@ def ngrams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(doc, terms), (doc[1:][joined], grams(terms, 2)[joined])]
 
 
-def counters(order: int, table: int, h: np.ndarray, size: int, part: int) -> np.ndarray:
-    """The counter of each n-gram; its counters in all tables lie in the same part. Sizes are powers of two."""
-    inner = np.uint64(part - 1)
-    outer = mix(h ^ _SALTS[order * TABLES]) & np.uint64(size - 1) & ~inner
-    return (outer | mix(h ^ _SALTS[order * TABLES + table]) & inner).astype(np.int64)
+def counters(table: int, h: np.ndarray, size: int, part: int) -> np.ndarray:
+    """The counter of each n-gram; those in the tables of one order lie in the same part. Sizes are powers of two."""
+    inner, first = np.uint64(part - 1), next(t[0] for t in TABLES if table in t)
+    outer = mix(h ^ _SALTS[first]) & np.uint64(size - 1) & ~inner
+    return (outer | mix(h ^ _SALTS[table]) & inner).astype(np.int64)
 
 
 def table_size(docs: DataFrame, load: int) -> int:
@@ -151,8 +152,8 @@ def _counts(marked: DataFrame, size: int) -> DataFrame:
             for order, (doc, h) in enumerate(ngrams(batch.column("text"))):
                 distinct, inverse = np.unique(h, return_inverse=True)
                 raw, mine = np.bincount(inverse), np.bincount(inverse, target[doc]).astype(np.int64)
-                for table in range(TABLES):
-                    at = counters(order, table, distinct, size, part) + (order * TABLES + table) * size
+                for table in TABLES[order]:
+                    at = counters(table, distinct, size, part) + table * size
                     parts.append((at, raw, mine))
                     held += len(at)
             if held > hold:
@@ -169,7 +170,10 @@ def _counts(marked: DataFrame, size: int) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, size: int, smoothing: float = 3.0) -> DataFrame:
-    """counter and ratio: the log of the smoothed target to the smoothed raw multinomial. Counters left out have ratio zero."""
+    """Log of the smoothed target to the smoothed raw multinomial: table, at and ``ratios``, floats of the counters from ``at`` on.
+
+    Chunks left out, and counters that nothing fell into, have ratio zero.
+    """
     target = F.broadcast(sample.select("id", (F.col("good") & ~F.col("held")).alias("target")))  # max_labelled rows of 9 bytes
     marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
         target, "id", "left")
@@ -181,19 +185,29 @@ def log_ratios(docs: DataFrame, sample: DataFrame, size: int, smoothing: float =
     for t, (raw, good) in totals.items():
         share = F.when(table == t, good / raw).otherwise(share)
     expected = F.col("raw") * share
-    return counts.select("counter", F.when(share > 0, F.log((F.col("target") + smoothing) / (expected + smoothing))).otherwise(
-        F.lit(0.0)).cast("float").alias("ratio"))
+    ratio = F.when(share > 0, F.log((F.col("target") + smoothing) / (expected + smoothing))).otherwise(F.lit(0.0))
+    chunk = min(size, CHUNK, PART)
+    rows = counts.select(F.floor(F.col("counter") / chunk).alias("chunk"), F.pmod("counter", F.lit(chunk)).alias("i"), ratio.alias("ratio"))
+
+    def packed(rows: pa.Table) -> pa.Table:
+        ratios = np.zeros(chunk, np.float32)
+        ratios[np.asarray(rows.column("i"))] = np.asarray(rows.column("ratio"))
+        first = rows.column("chunk")[0].as_py() * chunk
+        return pa.table({"table": pa.array([first // size], pa.int32()), "at": pa.array([first % size], pa.int64()),
+                         "ratios": pa.array([ratios.tobytes()])})
+
+    return stored(rows.groupBy("chunk").applyInArrow(packed, "table int, at long, ratios binary"), "ratios")
 
 
 def _scored(docs: DataFrame, name: str, ratios: DataFrame, size: int) -> DataFrame:
     """``docs`` with the struct column ``name``: rule counts, numbers of n-grams and sums of their ratios."""
     part = min(size, PART)
     for first in range(0, size, part):
-        tables = np.zeros((ORDERS * TABLES, part), np.float32)
-        inside = ratios.where((F.pmod("counter", F.lit(size)) >= first) & (F.pmod("counter", F.lit(size)) < first + part))
-        found = inside.toPandas()  # at most ORDERS * TABLES * PART counters
-        at = found["counter"].to_numpy()
-        tables[at // size, at % size - first] = found["ratio"].to_numpy()
+        tables = np.zeros((sum(map(len, TABLES)), part), np.float32)
+        inside = ratios.where((F.col("at") >= first) & (F.col("at") < first + part))
+        for row in inside.collect():  # at most PART counters of each table
+            chunk = np.frombuffer(row["ratios"], np.float32)
+            tables[row["table"], row["at"] - first:row["at"] - first + len(chunk)] = chunk
         shared = docs.sparkSession.sparkContext.broadcast(tables)
 
         @F.arrow_udf(_STRUCT)
@@ -205,10 +219,10 @@ def _scored(docs: DataFrame, name: str, ratios: DataFrame, size: int) -> DataFra
                 sums = []
                 for order, (doc, h) in enumerate(ngrams(text)):
                     best = None
-                    for table in range(TABLES):
-                        at = counters(order, table, h, size, part) - first
+                    for table in TABLES[order]:
+                        at = counters(table, h, size, part) - first
                         mine = (at >= 0) & (at < part)
-                        value = np.where(mine, known[order * TABLES + table][np.where(mine, at, 0)], 0)
+                        value = np.where(mine, known[table][np.where(mine, at, 0)], 0)
                         best = value if best is None else np.where(np.abs(value) < np.abs(best), value, best)
                     sums.append(np.bincount(doc, best, n))
                     if first == 0:
@@ -253,7 +267,7 @@ def _cut(scores: DataFrame, score: str, loss: float, step: float = 1 / 512) -> f
     return float((bin_[best] + 1 + after) / 2 * step)  # midway to the next score that occurs
 
 
-def judge(docs: DataFrame, labels: DataFrame, smoothing: float = 3.0, load: int = 32, loss: float = 5.0,
+def judge(docs: DataFrame, labels: DataFrame, smoothing: float = 3.0, load: int = 16, loss: float = 5.0,
           max_labelled: int = 500_000) -> tuple[DataFrame, str]:
     """``docs`` with a struct column, whose name is returned, too.
 

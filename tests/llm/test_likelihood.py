@@ -61,8 +61,8 @@ def plain_scores(docs, target, smoothing, size, part):
         h = likelihood.ngrams(alone)[order][1]
         assert len(h) == len(distinct)
         ratio = {}
-        for table in range(2):
-            at = dict(zip(distinct, likelihood.counters(order, table, h, size, part).tolist()))
+        for table in likelihood.TABLES[order]:
+            at = dict(zip(distinct, likelihood.counters(table, h, size, part).tolist()))
             raw, good = Counter(), Counter()
             for (i, _), c in zip(docs, grams):
                 for g, n in c.items():
@@ -84,7 +84,7 @@ def test_scores_are_those_of_plain_multinomials(spark, monkeypatch, parts):
     sample = likelihood._labelled(labels, 10_000).collect()
     target = {r["id"] for r in sample if r["good"] and not r["held"]}
     assert target and any(r["held"] for r in sample)
-    size = likelihood.table_size(table, 32)
+    size = likelihood.table_size(table, 16)
     monkeypatch.setattr(likelihood, "PART", size // parts)
     judged, name = judge(table, labels)
     got = {r["doc_id"]: r[name] for r in judged.collect()}
