@@ -135,7 +135,7 @@ def _labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
 
 def _counts(marked: DataFrame, size: int) -> DataFrame:
     """counter, raw and target: counters of all orders and tables numbered through. ``marked`` has text and target."""
-    hold, part = 1 << 21, min(size, PART)
+    hold, part = 1 << 20, min(size, PART)
 
     def merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, raw, target = (np.concatenate(x) for x in zip(*parts))
