@@ -116,6 +116,26 @@ def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataF
     return df.join(per, target).withColumn(name, F.lit(float(n)) / (2 * F.col("__n"))).drop("__n")
 
 
+def balanced_copies(df: DataFrame, target: str, counts: dict) -> tuple[DataFrame, float]:
+    """Rows for a forest whose every tree draws as many rows of one class as of the other, and the factor of its draw.
+
+    A tree takes a row a Poisson number of times. Copies of a row add up to a Poisson
+    number with as many times the mean, so with the rarer class copied n_more / n_fewer
+    times and all means lowered to n_fewer / n_more of what was asked, a row of the rarer
+    class is drawn as often as asked and the commoner class gives as many draws in all.
+    Every tree has its own draw and all trees share one pass. A broken number of copies is
+    spread by a hash of the row, so there are at most twice as many rows as before.
+    """
+    if len(counts) < 2:
+        return df, 1.0
+    rare, fewer = min(counts.items(), key=lambda kv: (kv[1], kv[0]))
+    times = max(counts.values()) / fewer
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.lit(times) + spread).cast("int")
+    several = F.when(F.col(target) == rare, F.sequence(F.lit(1), copies)).otherwise(F.array(F.lit(1)))
+    return df.withColumn("__copy", F.explode(several)).drop("__copy"), 1.0 / times
+
+
 def grouped_holdout(df: DataFrame, target: str, keys: list[str], share: float = 0.2) -> DataFrame:
     """Hold out a share of whole groups per class, by a stable hash of the key."""
     label = df.groupBy(*keys).agg(F.max(target).alias("__class"))

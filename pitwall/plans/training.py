@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import random
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import mean, pstdev
 
@@ -26,6 +23,7 @@ from pitwall.operators.features import WINDOWS
 from pitwall.operators.ordering import latest
 from pitwall.plans.base_tables import QUALI_ROLLUP, TEAM_ROLLUP
 from pitwall.plans.lake import cut, shared_root
+from pitwall.plans.search import Study, run_folds, search
 
 # Curated inputs of the three models and of the team explorer.
 CHAMPION_FEATURES = [
@@ -99,6 +97,7 @@ class Candidate:
     space: dict = field(default_factory=dict)
     scaled: bool = False
     early_stop: bool = False
+    balanced: bool = False  # every tree draws as many rows of either class
 
 
 # Defaults and search ranges. ("int", low, high, step), ("float", low,
@@ -119,7 +118,7 @@ CANDIDATES = {
          "subsamplingRate": 0.8, "seed": 42}, {
             "numTrees": ("int", 200, 800, 100), "maxDepth": ("int", 5, 20, 1),
             "minInstancesPerNode": ("int", 2, 30, 1), "subsamplingRate": ("float", 0.5, 1.0),
-            "featureSubsetStrategy": ("pick", ["sqrt", "log2", "0.3", "0.5", "0.7"])}),
+            "featureSubsetStrategy": ("pick", ["sqrt", "log2", "0.3", "0.5", "0.7"])}, balanced=True),
 }
 
 
@@ -129,21 +128,25 @@ def candidates(skip: tuple[str, ...] = (), **overrides: dict) -> dict[str, Candi
     for name, c in CANDIDATES.items():
         if name not in skip:
             out[name] = Candidate(c.name, c.build, {**c.params, **overrides.get(name, {})},
-                                  c.space, c.scaled, c.early_stop)
+                                  c.space, c.scaled, c.early_stop, c.balanced)
     return out
 
 
-def estimator(c: Candidate, features: list[str], target: str, params: dict | None = None,
-              stop_on: str | None = None) -> Pipeline:
+def preparation(c: Candidate, features: list[str]) -> list:
+    """The stages before the estimator. They do not depend on its settings."""
     stages = [VectorAssembler(inputCols=features, outputCol="inputs", handleInvalid="keep")]
-    inputs = "inputs"
     if c.scaled:
         stages.append(StandardScaler(inputCol="inputs", outputCol="scaled", withMean=True, withStd=True))
-        inputs = "scaled"
+    return stages
+
+
+def last_stage(c: Candidate, target: str, params: dict | None = None, stop_on: str | None = None, draw: float = 1.0):
+    """The estimator; ``draw`` scales the share of rows that a tree draws."""
+    params = {**c.params, **(params or {})}
+    if c.balanced:
+        params["subsamplingRate"] = params.get("subsamplingRate", 1.0) * draw
     more = {"validationIndicatorCol": stop_on} if stop_on and c.early_stop else {}
-    stages.append(c.build(featuresCol=inputs, labelCol=target, weightCol="weight",
-                          **{**c.params, **(params or {})}, **more))
-    return Pipeline(stages=stages)
+    return c.build(featuresCol="scaled" if c.scaled else "inputs", labelCol=target, weightCol="weight", **params, **more)
 
 
 def _ready(df: DataFrame, features: list[str]) -> DataFrame:
@@ -151,15 +154,34 @@ def _ready(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float(FILL))) for f in features})
 
 
+def balanced(c: Candidate, df: DataFrame, target: str, counts: dict[float, int] | None = None) -> tuple[DataFrame, float]:
+    """Rows with ``weight`` under which both classes count the same, and the factor of a tree's draw.
+
+    For a balanced forest the rarer class is copied, see ``evaluation.balanced_copies``;
+    otherwise rows weigh n / (2 * n_class).
+    """
+    rows = df.withColumn(target, F.col(target).cast("double")).where(F.col(target).isNotNull())
+    if counts is None:
+        counts = {r[0]: r[1] for r in rows.groupBy(target).count().collect()}  # one row a class
+    if c.balanced:
+        rows, draw = ev.balanced_copies(rows, target, counts)
+        return rows.withColumn("weight", F.lit(1.0)), draw
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for label, n in counts.items():
+        weight = F.when(F.col(target) == label, total / (2.0 * n)).otherwise(weight)
+    return rows.withColumn("weight", weight), 1.0
+
+
 def fit(c: Candidate, df: DataFrame, features: list[str], target: str, params: dict | None = None,
         stop_on: str | None = None) -> PipelineModel:
-    """Fit with both classes weighing the same.
+    """Fit with both classes counting the same.
 
     The stored copy is returned: it scores rows without the training summary,
     which refers to the training rows.
     """
-    rows = _ready(df, features).withColumn(target, F.col(target).cast("double"))
-    model = estimator(c, features, target, params, stop_on).fit(ev.with_class_weight(rows, target))
+    rows, draw = balanced(c, _ready(df, features), target)
+    model = Pipeline(stages=[*preparation(c, features), last_stage(c, target, params, stop_on, draw)]).fit(rows)
     path = f"{shared_root(df.sparkSession)}/models/{uuid.uuid4().hex}"
     model.write().save(path)
     return PipelineModel.load(path)
@@ -178,58 +200,96 @@ def _score_of(scored: DataFrame, target: str, scoring: str) -> float:
     return ev.ranking_metrics(scored, target, "prob").first()[col]
 
 
+@dataclass
+class Fold:
+    """Prepared rows of one expanding fold, or the score of a validation year of one class: its positive rate."""
+
+    train: DataFrame | None = None
+    validation: DataFrame | None = None
+    draw: float = 1.0
+    rate: float | None = None
+
+
+class Folds:
+    """Expanding folds, prepared once for all settings of a candidate and kept until the block ends."""
+
+    def __init__(self, c: Candidate, df: DataFrame, features: list[str], target: str, n_folds: int = N_FOLDS,
+                 scoring: str = "average_precision"):
+        self.c, self.df, self.features, self.target, self.n, self.scoring = c, df, features, target, n_folds, scoring
+        self.spark, self.folds, self._kept = df.sparkSession, [], []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._kept[-1]
+
+    def __enter__(self) -> Folds:
+        label = F.col(self.target).cast("double")
+        rows = _ready(self.df.select("dt_ref", self.target, *self.features), self.features).where(label.isNotNull())
+        rows = self._keep(rows)
+        per = {}
+        for r in rows.groupBy(F.year("dt_ref").alias("y"), label.alias("label")).count().collect():  # two rows a year
+            per.setdefault(r["y"], {})[r["label"]] = r["count"]
+        for year in ev.fold_years(list(per), self.n):
+            here = per[year]
+            if len(here) < 2:
+                self.folds.append(Fold(rate=float(next(iter(here)))))
+                continue
+            counts = {}
+            for y in per:
+                for k, n in per[y].items():
+                    counts[k] = counts.get(k, 0) + n * (y < year)
+            counts = {k: n for k, n in counts.items() if n}
+            train, draw = balanced(self.c, rows.where(F.col("dt_ref") < F.lit(f"{year}-01-01").cast("date")), self.target, counts)
+            prepared = Pipeline(stages=preparation(self.c, self.features)).fit(train)
+            inputs = "scaled" if self.c.scaled else "inputs"
+            self.folds.append(Fold(self._keep(prepared.transform(train).select(self.target, "weight", inputs)), self._keep(
+                prepared.transform(_season(rows, year)).select("dt_ref", self.target, inputs)), draw))
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in self._kept:
+            df.unpersist()
+
+    def score(self, params: dict | None, fold: int) -> float:
+        f = self.folds[fold]
+        if f.rate is not None:
+            return f.rate
+        model = last_stage(self.c, self.target, params, None, f.draw).fit(f.train)
+        scored = model.transform(f.validation).withColumn("prob", vector_to_array("probability")[1])
+        return float(_score_of(scored.select("dt_ref", self.target, "prob"), self.target, self.scoring) or 0.0)
+
+
 def cross_validate(c: Candidate, df: DataFrame, features: list[str], target: str, params: dict | None = None,
                    n_folds: int = N_FOLDS, scoring: str = "average_precision") -> list[float]:
     """Score of each expanding fold. A one-class validation year scores its positive rate."""
-    years = [r[0] for r in df.select(F.year("dt_ref")).distinct().collect()]
-    scores = []
-    for year in ev.fold_years(years, n_folds):
-        train, val = df.where(F.col("dt_ref") < F.lit(f"{year}-01-01").cast("date")), _season(df, year)
-        balance = ev.class_balance(val, target).first()
-        if not balance["n_pos"] or not balance["n_neg"]:
-            scores.append(float(balance["rate"] or 0.0))
-            continue
-        scored = score(fit(c, train, features, target, params), val.select("dt_ref", target, *features), features)
-        scores.append(float(_score_of(scored, target, scoring) or 0.0))
-    return scores
+    with Folds(c, df, features, target, n_folds, scoring) as folds:
+        return run_folds(df.sparkSession, f"validate-{uuid.uuid4().hex}", len(folds.folds), lambda i: folds.score(params, i))[0]
+
+
+def _space(space: dict, overrides: dict | None) -> dict:
+    return {**space, **{k: v for k, v in (overrides or {}).items() if k in space}}
 
 
 def draws(space: dict, n: int, seed: int = 42, overrides: dict | None = None) -> list[dict]:
-    """``n`` seeded random settings from the ranges."""
-    rnd = random.Random(seed)
-    space = {**space, **{k: v for k, v in (overrides or {}).items() if k in space}}
-
-    def one(kind, *a):
-        if kind == "int":
-            return rnd.randrange(a[0], a[1] + 1, a[2])
-        if kind == "float":
-            return rnd.uniform(*a)
-        if kind == "share":
-            return f"{rnd.uniform(*a):.4f}"
-        if kind == "log":
-            return math.exp(rnd.uniform(math.log(a[0]), math.log(a[1])))
-        return rnd.choice(a[0])
-    return [{k: one(*v) for k, v in space.items()} for _ in range(n)]
+    """``n`` seeded uniform settings from the ranges."""
+    study = Study(_space(space, overrides), seed, "uniform")
+    return [study.propose().params for _ in range(n)]
 
 
 def tune(c: Candidate, df: DataFrame, features: list[str], target: str, n_trials: int = N_TRIALS,
          scoring: str = "average_precision", n_folds: int = N_FOLDS,
-         overrides: dict | None = None) -> dict:
-    """Best of the drawn settings and of the defaults; a tie keeps the defaults."""
-    base = cross_validate(c, df, features, target, None, n_folds, scoring)
-    trials = draws(c.space, n_trials, overrides=overrides)
-
-    def run(p):
-        try:
-            return mean(cross_validate(c, df, features, target, p, n_folds, scoring))
-        except IllegalArgumentException:  # a setting that the estimator refuses loses; anything else rises
-            return 0.0
-    with ThreadPoolExecutor(PARALLEL_TRIALS) as pool:
-        tried = list(pool.map(run, trials))
-    best = max(range(len(trials)), key=lambda i: tried[i]) if trials else None
-    better = best is not None and tried[best] > mean(base)
-    return {"cv_score": mean(base), "cv_std": pstdev(base), "params": trials[best] if better else {},
-            "tuned_cv_score": tried[best] if better else mean(base)}
+         overrides: dict | None = None, sampler: str = "parzen", seed: int = 42) -> dict:
+    """Best of the tried settings and of the defaults; a tie keeps the defaults. ``study`` holds the trials."""
+    study = Study(_space(c.space, overrides), seed, sampler)
+    with Folds(c, df, features, target, n_folds, scoring) as folds:
+        n, spark = len(folds.folds), df.sparkSession
+        base = run_folds(spark, f"defaults-{uuid.uuid4().hex}", n, lambda i: folds.score(None, i))[0]
+        # a setting that the estimator refuses loses; anything else rises
+        search(spark, study, n_trials, n, folds.score, (IllegalArgumentException,), PARALLEL_TRIALS, f"tune-{uuid.uuid4().hex}")
+    best = study.best()
+    better = best is not None and best.score > mean(base)
+    return {"cv_score": mean(base), "cv_std": pstdev(base), "params": best.params if better else {},
+            "tuned_cv_score": best.score if better else mean(base), "study": study}
 
 
 def importances(model: PipelineModel, features: list[str], n: int = 30) -> list[tuple[str, float]]:
