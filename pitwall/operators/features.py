@@ -26,6 +26,11 @@ ACTIVE_YEARS = 2
 ROUND = ["year", "round_number", "event_date"]
 
 
+def _before() -> Column:
+    """A date before any race: a career carried along is there from the start."""
+    return F.lit("0001-01-01").cast("date")
+
+
 def scoring(results: DataFrame) -> DataFrame:
     return results.where(F.col("mode").isin(*SCORING))
 
@@ -171,12 +176,17 @@ def _partials(results: DataFrame, entity: str) -> DataFrame:
 
 def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
                   entity: str = "driverid", weighting: str = "slot",
-                  scope: str = "calendar") -> DataFrame:
+                  scope: str = "calendar", career: DataFrame | None = None,
+                  since: str | None = None) -> DataFrame:
     """Metrics of every window per (race date, active entrant).
 
     Rows need at least one session in each window, as an inner join of the
     single-window stores would keep. ``scope="entity"`` counts the entrant's own
     rounds; ``weighting="round"`` counts each session once.
+
+    ``career`` holds the sums of all seasons before those in ``results`` (see
+    ``career_sums``), which then only have to reach as far back as the bounded windows
+    and activity do; ``since`` leaves out earlier race dates.
     """
     dates = small(race_dates(results))
     partials = _partials(results, entity).repartition(entity)
@@ -194,17 +204,25 @@ def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
     turns = ", ".join(f"named_struct('k', '{k}', 'w', w_{k})" for k in windows)
     series = marked.selectExpr(
         entity, "at", f"inline(filter(array({turns}), t -> t.w <> 0)) AS (k, w)", *names)
+    unbounded = [k for k, n in windows.items() if n is None] if career is not None else []
+    for k in unbounded:
+        series = series.unionByName(career.select(entity, _before().alias("at"), F.lit(k).alias("k"), F.lit(1).alias("w"), *names))
     so_far = f"OVER (PARTITION BY {entity}, k ORDER BY at RANGE UNBOUNDED PRECEDING)"
     pack = ", ".join(f"'{n}', sum(w * {n}) {so_far}" for n in names)
     series = series.selectExpr(entity, "at", "k", f"named_struct({pack}) AS v")
 
     # Every output row picks up the latest state of each window.
     grid = active(results, entity).select(entity, F.col("dt_ref").alias("at"), F.lit(1).alias("is_row"))
+    if since:
+        grid = grid.where(F.col("at") >= F.lit(since).cast("date"))
     rows = (
         series.withColumn("is_row", F.lit(0))
         .unionByName(_seasons(marked, entity, weights), allowMissingColumns=True)
         .unionByName(grid.repartition(entity), allowMissingColumns=True)
     )
+    if unbounded:
+        rows = rows.unionByName(career.select(entity, _before().alias("at"), F.lit(0).alias("is_row"), *[
+            F.col("seasons").alias(f"y_w_{k}") for k in unbounded]), allowMissingColumns=True)
     upto = (f"OVER (PARTITION BY {entity} ORDER BY at, is_row "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     picked = rows.selectExpr(
@@ -221,6 +239,22 @@ def feature_store(results: DataFrame, windows: dict[str, int | None] = WINDOWS,
     return picked.selectExpr(*out)
 
 
+def career_sums(results: DataFrame, entity: str = "driverid", weighting: str = "slot") -> DataFrame:
+    """What each season adds to an entrant's career: the weighted sums of its rounds, and ``seasons``, 1 or 0.
+
+    Every date of a round counts once for each slot of the round, as it does once the season is past.
+    """
+    partials = _partials(results, entity)
+    names = [c for c in partials.columns if c not in (entity, *ROUND)]
+    if weighting == "slot":
+        slots = calendar_slots(results).groupBy("year", "round_number").agg(F.count(F.lit(1)).alias("w"))
+        partials = partials.join(small(slots), ["year", "round_number"])
+    else:
+        partials = partials.withColumn("w", F.lit(1))
+    return partials.groupBy(entity, "year").agg(
+        (F.sum("c_qtd_sessions") > 0).cast("bigint").alias("seasons"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
+
+
 def _seasons(marked: DataFrame, entity: str, weights: list[str]) -> DataFrame:
     """+1 when a year first has a session in the window, -1 when it has none left."""
     per = marked.groupBy(entity, "year", "at").agg(

@@ -57,3 +57,9 @@ def build_layers(results: DataFrame, labels: dict[str, DataFrame], root: str, fi
 def run_pipeline(spark: SparkSession, files: list[str], labels: dict[str, DataFrame], root: str, **years) -> dict[str, dict[str, int]]:
     """Scan session files or folders, clean them and write every layer. See ``build_layers``."""
     return build_layers(build_results(scan_sessions(spark, files)), labels, root, **years)
+
+
+def extend_pipeline(spark: SparkSession, files: list[str], labels: dict[str, DataFrame], root: str, **years) -> dict[str, int]:
+    """Scan new session files or folders, clean them and publish the lake with them. See ``incremental.update``."""
+    from pitwall.plans.incremental import update
+    return update(spark, root, build_results(scan_sessions(spark, files)), labels, **years)

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitwall.plans.publish import current, read
+
 # Table names offered to ad-hoc queries.
 TABLES = (
     "results", "fs_driver_life", "fs_driver_last10", "fs_driver_last20", "fs_driver_last40",
@@ -15,9 +17,14 @@ TABLES = (
 
 
 def register_lake(spark: SparkSession, root: str, names=TABLES) -> list[str]:
-    """Make each stored layer a view; a layer that is not there is an error."""
+    """Make each stored layer a view; a layer that is not there is an error.
+
+    Where runs are published, all views are of one version, the newest.
+    """
+    layers = current(spark, root)
     for name in names:
-        spark.read.parquet(os.path.join(root, name)).createOrReplaceTempView(name)
+        df = read(spark, root, name, layers) if layers else spark.read.parquet(os.path.join(root, name))
+        df.createOrReplaceTempView(name)
     return list(names)
 
 
