@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pitwall.plans.lake import small
+from pitwall.plans.lake import shared_root, small
 
 # Columns of a raw session file.
 RAW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
@@ -35,7 +32,7 @@ READINGS = {"AirTemp": "AirTemp", "TrackTemp": "TrackTemp", "Humidity": "Humidit
             "Pressure": "Pressure", "WindSpeed": "WindSpeed", "WindDirection": "WindDirection"}
 
 
-def _as_raw(df: DataFrame) -> DataFrame:
+def as_raw(df: DataFrame) -> DataFrame:
     """Cast to the raw schema; absent columns become NULL, nanoseconds timestamps."""
     have = {f.name: f.dataType for f in df.schema.fields}
 
@@ -52,44 +49,18 @@ def _as_raw(df: DataFrame) -> DataFrame:
     return df.select(*[one(f) for f in RAW_SCHEMA.fields])
 
 
-def _footers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Parquet files below ``paths`` by schema, their footers read by the executors."""
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for path in batch.column("path").to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path)
-                prefix = path[:len(path) - len(at)]
-                if fs.get_file_info(at).type == pafs.FileType.Directory:
-                    inside = fs.get_file_info(pafs.FileSelector(at, recursive=True))
-                    files = [i.path for i in inside if i.path.endswith(".parquet")]
-                else:
-                    files = [at]
-                found += [(prefix + f, str(pq.read_schema(f, filesystem=fs).remove_metadata())) for f in files]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()),
-                                              pa.array([k for _, k in found], pa.string())], names=["file", "kind"])
-
-    rows = spark.createDataFrame([(p,) for p in paths], "path string")
-    rows = rows.repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
-    kinds = rows.mapInArrow(read, "file string, kind string").groupBy("kind").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    return [(r["kind"], r["files"]) for r in kinds.orderBy("kind").collect()]
-
-
-def scan_sessions(spark: SparkSession, files: list[str]) -> DataFrame:
+def scan_sessions(spark: SparkSession, files: list[str], table: str | None = None) -> DataFrame:
     """Files (or folders of files) of differing schemas as one table: one scan per distinct schema.
 
+    ``table`` is where the catalogue of files is kept, see ``sources.catalogue``: with it,
+    a second scan opens the footers of new files only. Without it, one is made for this scan.
     Timestamps stored in nanoseconds are read as whole numbers, which needs
     ``spark.sql.legacy.parquet.nanosAsLong``; ``plans.session`` sets it.
     """
-    parts = []
-    for _, paths in _footers(spark, files):
-        parts.append(_as_raw(spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)))
-    if not parts:
-        raise ValueError("no Parquet files")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from pitwall.sources import catalogue as cat
+    table = table or f"{shared_root(spark)}/catalogue-{uuid.uuid4().hex}"
+    cat.refresh(spark, files, table)
+    return cat.scan(spark, cat.catalogue(spark, files, table))
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
