@@ -93,7 +93,7 @@ query("q13_standings_by_race", sql(f"""
            gap_momentum_3r, points_accel, qtd_wins_last10, qtd_podiums_last10, total_points_last10,
            round(avg_position_last10 + 1e-9, 2) AS avg_position_last10
     FROM t3 WHERE year(dt_ref) = {Y} AND standing_position <= 5""", "t3"),
-    )(lambda t: ex.season_of(t.abt_champions_inseason, Y).where(F.col("standing_position") <= 5).select(
+    )(lambda t: ex.season_of(t.by_season("abt_champions_inseason"), Y).where(F.col("standing_position") <= 5).select(
         "dt_ref", "driverid", "standing_position", F.round("points_pct_of_leader", 3).alias("points_pct_of_leader"),
         "gap_momentum_3r", "points_accel", "qtd_wins_last10", "qtd_podiums_last10", "total_points_last10",
         F.round(F.col("avg_position_last10") + 1e-9, 2).alias("avg_position_last10")))
@@ -120,7 +120,7 @@ _LEAD = f"""
 
 
 def momentum_leaders(t):
-    rows = ex.season_of(t.abt_champions_inseason, Y).select(
+    rows = ex.season_of(t.by_season("abt_champions_inseason"), Y).select(
         "dt_ref", "driverid", "standing_position", "gap_momentum_3r", "points_accel")
     return top_k(rows, ["dt_ref"], [F.desc_nulls_last("gap_momentum_3r"), F.col("driverid")], 3, "momentum_rank")
 
@@ -132,7 +132,7 @@ query("q16_team_standings_by_race", sql(f"""
            team_points_accel, sum_wins_last10, sum_podiums_last10, sum_points_last10,
            round(avg_position_last10 + 1e-9, 2) AS avg_pos_l10
     FROM t4 WHERE year(dt_ref) = {Y} AND team_standing_position <= 5""", "t4"),
-    )(lambda t: t.abt_teams_inseason.where((F.col("year") == Y) & (F.col("team_standing_position") <= 5)).select(
+    )(lambda t: ex.season_of(t.by_season("abt_teams_inseason"), Y).where(F.col("team_standing_position") <= 5).select(
         "dt_ref", "team_name", "team_standing_position", F.round("team_points_pct_of_leader", 3).alias("team_pct_leader"),
         "team_points_accel", "sum_wins_last10", "sum_podiums_last10", "sum_points_last10",
         F.round(F.col("avg_position_last10") + 1e-9, 2).alias("avg_pos_l10")))
@@ -146,7 +146,7 @@ _RISK = """driverid, driver_age, team_tenure_years, career_distinct_teams, seaso
 query("q18_risk_profile", sql(f"""
     SELECT {_RISK} FROM t6 f WHERE dt_ref = (SELECT MAX(dt_ref) FROM t6 g WHERE g.driverid = f.driverid AND year(dt_ref) = {Y})
     """, "t6"),
-    )(lambda t: ex.newest_rows(ex.season_of(t.abt_departures_inseason, Y), "driverid").selectExpr(
+    )(lambda t: ex.newest_rows(ex.season_of(t.by_season("abt_departures_inseason"), Y), "driverid").selectExpr(
         *["driverid", "driver_age", "team_tenure_years", "career_distinct_teams", "seasons_since_last_win",
          "seasons_since_last_podium", "round(teammate_position_gap + 1e-9D, 2) AS teammate_pos_gap",
          "round(team_points_share + 1e-9D, 3) AS team_pts_share", "round(season_dnf_rate + 1e-9D, 3) AS dnf_rate",
@@ -156,7 +156,7 @@ query("q19_teammate_dynamics", sql(f"""
            round(teammate_grid_gap + 1e-9, 2) AS teammate_grid_gap, round(team_points_share + 1e-9, 3) AS team_pts_share,
            season_points_current
     FROM t6 WHERE year(dt_ref) = {Y} AND driverid IN (3, 5, 8)""", "t6"),
-    )(lambda t: ex.season_of(t.abt_departures_inseason, Y).where(F.col("driverid").isin(3, 5, 8)).selectExpr(
+    )(lambda t: ex.season_of(t.by_season("abt_departures_inseason"), Y).where(F.col("driverid").isin(3, 5, 8)).selectExpr(
         "dt_ref", "driverid", "round(teammate_position_gap + 1e-9D, 2) AS teammate_pos_gap",
         "round(teammate_grid_gap + 1e-9D, 2) AS teammate_grid_gap", "round(team_points_share + 1e-9D, 3) AS team_pts_share",
         "season_points_current"))
@@ -208,7 +208,7 @@ query("q23_champion_feature_leaders", sql(f"""
     SELECT driverid, standing_position, {rr(['avg_position_last10'])}, points_accel, gap_momentum_3r FROM (
     {_last_sql('t3', 'driverid', ['standing_position', 'avg_position_last10', 'points_accel', 'gap_momentum_3r'], f'year(dt_ref) = {Y}')})
     ORDER BY standing_position, driverid LIMIT 6""", "t3"),
-    )(lambda t: rounded(ex.leading(ex.season_of(t.abt_champions_inseason, Y), "driverid", "standing_position", 6,
+    )(lambda t: rounded(ex.leading(ex.season_of(t.by_season("abt_champions_inseason"), Y), "driverid", "standing_position", 6,
                                    ["avg_position_last10", "points_accel", "gap_momentum_3r"])))
 query("q23_team_feature_leaders", sql(f"""
     SELECT team_name, team_standing_position, sum_wins_last10, {rr(['avg_grid_last10'])} FROM (
@@ -234,7 +234,7 @@ def _corr_sql(tb, cols, where):
 _CORR_C, _x = _corr_sql("t3", CHAMPION_FEATURES, f"year(dt_ref) = {Y}")
 step("x", _x, "t3")
 query("q24_champion_feature_correlation", sql(_CORR_C, "x"))(
-    lambda t: rounded(ex.correlations(ex.season_of(t.abt_champions_inseason, Y), CHAMPION_FEATURES)))
+    lambda t: rounded(ex.correlations(ex.season_of(t.by_season("abt_champions_inseason"), Y), CHAMPION_FEATURES)))
 _CORR_T, _x2 = _corr_sql("t4", TEAM_EXPLORER_FEATURES, f"year = {Y}")
 step("x2", _x2, "t4")
 query("g15_correlation_matrix", sql(_CORR_T.replace("FROM x", "FROM x2"), "x2"))(
@@ -242,7 +242,7 @@ query("g15_correlation_matrix", sql(_CORR_T.replace("FROM x", "FROM x2"), "x2"))
 query("q25_season_end_ranking", sql(f"""
     SELECT driverid, {rr(['season_dnf_rate', 'team_points_share'])} FROM (
     {_last_sql('t6', 'driverid', ['season_dnf_rate', 'team_points_share'], f'year(dt_ref) = {Y}')})""", "t6"),
-    )(lambda t: rounded(ex.last_values(ex.season_of(t.abt_departures_inseason, Y), "driverid",
+    )(lambda t: rounded(ex.last_values(ex.season_of(t.by_season("abt_departures_inseason"), Y), "driverid",
                                        ["season_dnf_rate", "team_points_share"]).orderBy(F.desc("season_dnf_rate"))))
 _BOX = """
     SELECT year, MIN(p) AS low, MAX(p) AS high, round(quantile_cont(p, 0.25) + 1e-9, 6) AS q1,

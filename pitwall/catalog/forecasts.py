@@ -50,6 +50,23 @@ query("m6_one_step_forecast", sql(f"""
                                  F.round(fc.linear_trend(), 2).alias("trend_forecast")))
 
 
+# The same smoothing as a recursion over the places of a context, for each of twelve pairs of rates.
+query("m6_smoothed_trend", sql("""
+    WITH RECURSIVE pair AS (SELECT a.i * 3 + b.i AS p, a.r AS a, b.r AS b FROM
+        (VALUES (0, 0.1e0), (1, 0.3e0), (2, 0.5e0), (3, 0.8e0)) a(i, r), (VALUES (0, 0.0e0), (1, 0.1e0), (2, 0.3e0)) b(i, r)),
+    fold AS (
+        SELECT driverid, dt_ref, context, p, a, b, 1 AS n, context[1] AS level, 0.0e0 AS trend, 0.0e0 AS errors FROM ctx, pair
+        UNION ALL
+        SELECT driverid, dt_ref, context, p, a, b, n + 1, a * context[n + 1] + (1 - a) * (level + trend),
+               b * ((a * context[n + 1] + (1 - a) * (level + trend)) - level) + (1 - b) * trend,
+               errors + (context[n + 1] - (level + trend)) * (context[n + 1] - (level + trend))
+        FROM fold WHERE n < 32)
+    SELECT driverid, dt_ref, a AS level_rate, b AS trend_rate, round(level + trend, 4) AS forecast, round(errors, 3) AS errors
+    FROM fold WHERE n = 32 QUALIFY row_number() OVER (PARTITION BY driverid, dt_ref ORDER BY fold.errors, p) = 1""", "ctx"))(
+    lambda t: contexts(t).withColumn("s", fc.smoothed_trend()).select(
+        "driverid", "dt_ref", "s.level_rate", "s.trend_rate", F.round("s.forecast", 4).alias("forecast"), F.round("s.errors", 3).alias("errors")))
+
+
 query("m6_model_slot", sql("SELECT driverid, dt_ref, round(list_avg(context), 2) AS forecast FROM ctx", "ctx"))(
     lambda t: contexts(t).select("driverid", "dt_ref", F.round(fc.model_forecast(lambda block: block.astype('float64').mean(axis=1))("context"), 2).alias("forecast")))
 query("m5_softmax_per_date", sql("""

@@ -7,8 +7,6 @@ joined with its past), not the way the Spark side computes them.
 
 from __future__ import annotations
 
-from pitwall.functions.metrics import METRICS, SEASONS
-
 SCORING = "('Race', 'Sprint', 'Sprint Race')"
 _STEPS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -114,18 +112,69 @@ FROM (SELECT DISTINCT dt_ref, year, round_number, event_date FROM past)
 """, "past")
 
 
-def metric_sql(suffix: str, weight_once: bool = False) -> str:
-    cols = [f"COUNT(DISTINCT p.year) AS {SEASONS}_{suffix}"]
-    for m in METRICS:
-        when = f" FILTER (WHERE {m.where})" if m.where else ""
-        if m.kind == "count":
-            e = f"COUNT(*){when}"
-        elif m.kind == "sum":
-            e = f"CAST(COALESCE(SUM({m.value}){when}, 0) AS BIGINT)"
-        else:
-            e = f"AVG({m.value}){when}"
-        cols.append(f"{e} AS {m.name}_{suffix}")
-    return ",\n       ".join(cols)
+# The metrics of a window, each with the aggregate that defines it.
+METRIC_SQL = dict(line.strip().split(": ", 1) for line in """
+    qtd_seasons: COUNT(DISTINCT p.year)
+    qtd_sessions: COUNT(*)
+    qtd_finished: CAST(COALESCE(SUM(is_finished), 0) AS BIGINT)
+    qtd_race: COUNT(*) FILTER (WHERE mode IN ('Race'))
+    qtd_finished_race: COUNT(*) FILTER (WHERE mode IN ('Race') AND is_finished = 1)
+    qtd_sprint: COUNT(*) FILTER (WHERE mode IN ('Sprint', 'Sprint Race'))
+    qtd_finished_sprint: COUNT(*) FILTER (WHERE mode IN ('Sprint', 'Sprint Race') AND is_finished = 1)
+    qtd_wins: COUNT(*) FILTER (WHERE position = 1)
+    qtd_wins_race: COUNT(*) FILTER (WHERE position = 1 AND mode IN ('Race'))
+    qtd_wins_sprint: COUNT(*) FILTER (WHERE position = 1 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_podiums: COUNT(*) FILTER (WHERE position <= 3)
+    qtd_podiums_race: COUNT(*) FILTER (WHERE position <= 3 AND mode IN ('Race'))
+    qtd_podiums_sprint: COUNT(*) FILTER (WHERE position <= 3 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_top5: COUNT(*) FILTER (WHERE position <= 5)
+    qtd_top5_race: COUNT(*) FILTER (WHERE position <= 5 AND mode IN ('Race'))
+    qtd_top5_sprint: COUNT(*) FILTER (WHERE position <= 5 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_grid_top5: COUNT(*) FILTER (WHERE grid_position <= 5)
+    qtd_grid_top5_race: COUNT(*) FILTER (WHERE grid_position <= 5 AND mode IN ('Race'))
+    qtd_grid_top5_sprint: COUNT(*) FILTER (WHERE grid_position <= 5 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_poles: COUNT(*) FILTER (WHERE grid_position = 1)
+    qtd_poles_race: COUNT(*) FILTER (WHERE grid_position = 1 AND mode IN ('Race'))
+    qtd_poles_sprint: COUNT(*) FILTER (WHERE grid_position = 1 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_pole_win: COUNT(*) FILTER (WHERE grid_position = 1 AND position = 1)
+    qtd_pole_win_race: COUNT(*) FILTER (WHERE grid_position = 1 AND position = 1 AND mode IN ('Race'))
+    qtd_pole_win_sprint: COUNT(*) FILTER (WHERE grid_position = 1 AND position = 1 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_sessions_with_points: COUNT(*) FILTER (WHERE points > 0)
+    qtd_sessions_with_points_race: COUNT(*) FILTER (WHERE points > 0 AND mode IN ('Race'))
+    qtd_sessions_with_points_sprint: COUNT(*) FILTER (WHERE points > 0 AND mode IN ('Sprint', 'Sprint Race'))
+    qtd_sessions_with_overtake: COUNT(*) FILTER (WHERE position < grid_position)
+    qtd_sessions_with_overtake_race: COUNT(*) FILTER (WHERE position < grid_position AND mode IN ('Race'))
+    qtd_sessions_with_overtake_sprint: COUNT(*) FILTER (WHERE position < grid_position AND mode IN ('Sprint', 'Sprint Race'))
+    total_points: CAST(COALESCE(SUM(points), 0) AS BIGINT)
+    total_points_race: CAST(COALESCE(SUM(points) FILTER (WHERE mode IN ('Race')), 0) AS BIGINT)
+    total_points_sprint: CAST(COALESCE(SUM(points) FILTER (WHERE mode IN ('Sprint', 'Sprint Race')), 0) AS BIGINT)
+    avg_grid: AVG(grid_position)
+    avg_grid_race: AVG(grid_position) FILTER (WHERE mode IN ('Race'))
+    avg_grid_sprint: AVG(grid_position) FILTER (WHERE mode IN ('Sprint', 'Sprint Race'))
+    avg_position: AVG(position)
+    avg_position_race: AVG(position) FILTER (WHERE mode IN ('Race'))
+    avg_position_sprint: AVG(position) FILTER (WHERE mode IN ('Sprint', 'Sprint Race'))
+    avg_overtakes: AVG(grid_position - position)
+    avg_overtakes_race: AVG(grid_position - position) FILTER (WHERE mode IN ('Race'))
+    avg_overtakes_sprint: AVG(grid_position - position) FILTER (WHERE mode IN ('Sprint', 'Sprint Race'))
+    qtd_quali: COUNT(*) FILTER (WHERE mode IN ('Qualifying'))
+    avg_quali_position: AVG(position) FILTER (WHERE mode IN ('Qualifying'))
+    qtd_quali_pole: COUNT(*) FILTER (WHERE mode IN ('Qualifying') AND position = 1)
+    qtd_quali_top3: COUNT(*) FILTER (WHERE mode IN ('Qualifying') AND position <= 3)
+    qtd_quali_top10: COUNT(*) FILTER (WHERE mode IN ('Qualifying') AND position <= 10)
+    avg_air_temp: AVG(air_temp)
+    avg_track_temp: AVG(track_temp)
+    avg_humidity: AVG(humidity)
+    avg_pressure: AVG(pressure)
+    avg_wind_speed: AVG(wind_speed)
+    qtd_sessions_rain: CAST(COALESCE(SUM(rainfall), 0) AS BIGINT)
+    pct_sessions_rain: AVG(rainfall)
+""".strip().splitlines())
+MEANS = {name for name, e in METRIC_SQL.items() if e.startswith("AVG")}
+
+
+def metric_sql(suffix: str) -> str:
+    return ",\n       ".join(f"{e} AS {name}_{suffix}" for name, e in METRIC_SQL.items())
 
 
 def _store(suffix: str, rounds: int | None, once: bool = False) -> str:
@@ -162,10 +211,4 @@ JOIN fs_last20 USING (dt_ref, driverid) JOIN fs_last40 USING (dt_ref, driverid)
 
 def metric_columns(suffixes=tuple(ROUNDS)) -> str:
     """Every metric column, means rounded for comparison."""
-    out = []
-    for k in suffixes:
-        out.append(f"{SEASONS}_{k}")
-        for m in METRICS:
-            c = f"{m.name}_{k}"
-            out.append(f"round({c} + 1e-9, 6) AS {c}" if m.kind == "mean" else c)
-    return ", ".join(out)
+    return ", ".join(f"round({m}_{k} + 1e-9, 6) AS {m}_{k}" if m in MEANS else f"{m}_{k}" for k in suffixes for m in METRIC_SQL)

@@ -16,9 +16,17 @@ CONTEXT = 32
 NO_FINISH = 15.0
 
 
-def _roster(results: DataFrame, cols: list[str], year: int | None) -> DataFrame:
+def _of_year(results: DataFrame, year: int | None) -> DataFrame:
+    """Scoring rows of a season: by its folder or column, and by date, which files can skip by."""
     r = scoring(results)
-    r = r.where(F.year("event_date") == year) if year else r
+    if not year:
+        return r
+    day = F.col("event_date")
+    return r.where((F.col("year") == year) & (day >= F.lit(f"{year}-01-01").cast("date")) & (day < F.lit(f"{year + 1}-01-01").cast("date")))
+
+
+def _roster(results: DataFrame, cols: list[str], year: int | None) -> DataFrame:
+    r = _of_year(results, year)
     return r.select(*cols, F.col("event_date").alias("dt_ref")).distinct()
 
 
@@ -33,8 +41,7 @@ def points_signal(features: DataFrame, results: DataFrame, year: int | None = No
 
 def team_signal(features: DataFrame, results: DataFrame, year: int | None = None) -> DataFrame:
     """Recent points summed over a team's sessions of the date."""
-    r = scoring(results)
-    r = r.where(F.year("event_date") == year) if year else r
+    r = _of_year(results, year)
     r = r.select("driverid", "teamid", "team_name", F.col("event_date").alias("dt_ref"))
     f = features.select("driverid", "dt_ref", "total_points_last10")
     return r.join(f, ["driverid", "dt_ref"]).groupBy("teamid", "team_name", "dt_ref").agg(
@@ -71,6 +78,40 @@ def linear_trend(context="context", length: int = CONTEXT) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
+# The rates that are tried, of the level and of the trend.
+LEVEL_RATES = (0.1, 0.3, 0.5, 0.8)
+TREND_RATES = (0.0, 0.1, 0.3)
+
+
+def _smoothed(context: Column, level_rate: float, trend_rate: float) -> Column:
+    """One pass over a context: the squared errors of its one-step forecasts, and the next forecast."""
+    start = F.struct(F.element_at(context, 1).cast("double").alias("level"), F.lit(0.0).alias("trend"), F.lit(0.0).alias("errors"))
+
+    def step(a: Column, x: Column) -> Column:
+        x, expected = x.cast("double"), a["level"] + a["trend"]
+        level = F.lit(level_rate) * x + F.lit(1 - level_rate) * expected
+        trend = F.lit(trend_rate) * (level - a["level"]) + F.lit(1 - trend_rate) * a["trend"]
+        return F.struct(level.alias("level"), trend.alias("trend"), (a["errors"] + (x - expected) * (x - expected)).alias("errors"))
+
+    rest = F.slice(context, F.lit(2), F.greatest(F.size(context) - 1, F.lit(0)))
+    return F.aggregate(rest, start, step, lambda a: F.struct(a["errors"].alias("errors"), (a["level"] + a["trend"]).alias("forecast")))
+
+
+def smoothed_trend(context="context", level_rates: tuple[float, ...] = LEVEL_RATES,
+                   trend_rates: tuple[float, ...] = TREND_RATES) -> Column:
+    """Level-and-trend smoothing with the rates that would have forecast the context best: their
+    squared errors, rates and next forecast. Of equally good rates the first pair counts; an
+    empty context has no forecast.
+    """
+    context = F.col(context) if isinstance(context, str) else context
+    tried = []
+    for i, (a, b) in enumerate((a, b) for a in level_rates for b in trend_rates):
+        fit = _smoothed(context, a, b)
+        tried.append(F.struct(fit["errors"].alias("errors"), F.lit(i).alias("i"), F.lit(a).alias("level_rate"),
+                              F.lit(b).alias("trend_rate"), fit["forecast"].alias("forecast")))
+    return F.when(F.size(context) > 0, F.array_min(F.array(*tried)))
+
+
 def model_forecast(predict: Callable) -> Callable[[str], Column]:
     """Wrap ``predict(batch of contexts as a 2-d array) -> values`` for use on the column."""
     @F.pandas_udf("double")

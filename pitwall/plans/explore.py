@@ -255,8 +255,10 @@ def risk_selection(scored: DataFrame, prob: str = "prob") -> DataFrame:
 
 
 def season_of(df: DataFrame, year: int, at: str = "dt_ref") -> DataFrame:
-    """One season as a date range, which reaches the Parquet scan as a filter."""
+    """One season: by the folders of a table stored by season, and as a date range, which files can skip by."""
     day = F.col(at)
+    if "season" in df.columns:
+        df = df.where(F.col("season") == year)
     return df.where((day >= F.make_date(F.lit(year), F.lit(1), F.lit(1)))
                     & (day < F.make_date(F.lit(year + 1), F.lit(1), F.lit(1))))
 

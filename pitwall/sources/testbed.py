@@ -105,6 +105,10 @@ class Testbed:
             )
         )
 
+    def by_season(self, name: str) -> DataFrame:
+        """A dated layer stored by season, with the column its folders are named by."""
+        return self.lake.layer(f"{name}_by_season", lambda: getattr(self, name).withColumn("season", F.year("dt_ref")), ("season",))
+
     @property
     def results(self) -> DataFrame:
         return self.lake.layer("results", self._results)

@@ -27,8 +27,8 @@ def keep_newest(stream: DataFrame, path: str, checkpoint: str, key: list[str], a
                 partition: str) -> StreamingQuery:
     """Maintain the newest row per key in a partitioned table.
 
-    Each batch is merged with the partitions it touches, and only those are
-    rewritten; rows without a partition value are a partition, too. Running a batch
+    Each batch is merged with the partitions it touches; only their folders are read
+    and rewritten. Rows without a partition value are a partition, too. Running a batch
     again gives the same table.
     """
     schema = stream.schema
@@ -38,14 +38,16 @@ def keep_newest(stream: DataFrame, path: str, checkpoint: str, key: list[str], a
         batch = cut(newest(batch, key, at))
         if batch.isEmpty():
             return
-        touched = batch.select(F.col(partition).alias("__touched")).distinct()
+        # the folders this batch rewrites; whoever commits the write names each of them anyway
+        touched = [r[0] for r in batch.select(partition).distinct().collect()]
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         merged = batch
         if fs.exists(folder):
-            old = spark.read.schema(schema).parquet(path)
-            old = old.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
+            at_ = F.col(partition)
+            wanted = at_.isin([v for v in touched if v is not None])
+            old = spark.read.schema(schema).parquet(path).where(wanted | at_.isNull() if None in touched else wanted)
             merged = cut(newest(old.unionByName(batch), key, at))
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition).parquet(path))

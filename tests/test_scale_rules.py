@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,38 @@ def test_colors(spark):
     rows = spark.createDataFrame([("Ferrari", None), ("Ferrari", " FF0000 "), ("None", "nan"), ("McLaren", ""), ("x", "#ABC")], "t string, c string")
     got = [r[0] for r in rows.select(fn.team_color("t", "c")).collect()]
     assert got == ["#E8002D", "#ff0000", "#999999", "#FF8000", "#abc"]
+
+
+
+
+def test_one_season_is_read_from_one_folder(spark, bed):
+    from pitwall.operators.forecast import points_signal, team_signal
+    from pitwall.plans.explore import season_of
+    for name in ("abt_champions_inseason", "abt_departures_inseason"):
+        table = bed.by_season(name)
+        one = season_of(table, 1999)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(season" in plan and "= 1999)" in plan
+        assert one.count() == table.where(F.year("dt_ref") == 1999).count() > 0
+    results = bed.results
+    for signal in (points_signal, team_signal):
+        plan = signal(bed.features, results, 1999)._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"\(year#\d+ = 1999\)", plan) and re.search(r"\(event_date#\d+ >= 1999-01-01\)", plan)
+        assert "year(event_date" not in plan
+
+
+def test_a_merge_reads_the_folders_it_rewrites(spark, tmp_path):
+    """Rows of other partitions, garbled on purpose, are not even opened."""
+    schema, src, out = "k long, at long, day int", str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        keep_newest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "state"), ["k"], "at", "day").awaitTermination()
+
+    run([(1, 10, 1), (2, 10, 2), (3, 10, None)])
+    for f in (tmp_path / "out" / "day=2").iterdir():
+        if f.suffix == ".parquet":
+            f.write_bytes(b"no parquet")
+    run([(1, 11, 1), (4, 1, None), (5, 1, 3)])
+    got = spark.read.schema(schema).parquet(out).where("day <> 2 OR day IS NULL")
+    assert rows_of(got.select("k", "at", "day")) == sorted([(1, 11, 1), (3, 10, None), (4, 1, None), (5, 1, 3)], key=repr)
