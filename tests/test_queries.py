@@ -15,7 +15,7 @@ t9_teammate_gap_last_team_transfers t10_tenure_transfers t11_career_teams_inseas
 t14_driver_clinch s6_standings_before_event s7_standings_carried_forward w8_team_leader_gap j13_team_remaining_points
 q3_dnf_rate q12_class_balance q22_explorer_teams q26_points_distribution q32_current_standings q34_race_result_table
 q35_top1_evolution x9_team_color x10_lap_time x11_race_time x14_risk_tier x20_softmax x23_year_list
-l2_split_late_removed l3_expanding_folds l9_class_weights l10_roc_auc l11_pr_auc l12_curve_points l14_confusion_matrix
+l2_split_late_removed l3_expanding_folds l9_class_weights l9_border_rows l9_rebalanced m6_smoothed_trend l10_roc_auc l11_pr_auc l12_curve_points l14_confusion_matrix
 l24_grouped_holdout m4_trailing_context m6_one_step_forecast n1_ingest_stream n1_rounds_in_order n2_latest_per_key_stream n3_weather_stream n3_weather_sessions n3_late_readings
 """.split()
 
