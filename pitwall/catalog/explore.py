@@ -9,7 +9,7 @@ from pitwall.catalog.oracle import SCORING, sql, step
 from pitwall.catalog.tables import rr
 from pitwall.functions.metrics import GROUPS
 from pitwall.operators import career
-from pitwall.operators.features import scoring
+from pitwall.operators.features import WINDOWS, scoring
 from pitwall.operators.ordering import top_k
 from pitwall.plans import explore as ex
 from pitwall.sources.console import run_sql
@@ -194,9 +194,19 @@ query("q22_explorer_teams", sql("""
     SELECT dt_ref, team_name, round(AVG(avg_grid_life) + 1e-9, 6) AS avg_grid_life
     FROM fs_all f LEFT JOIN names n ON n.driverid = f.driverid WHERE year(dt_ref) = 1999 GROUP BY ALL""", "fs_all", "names"),
     )(lambda t: rounded(ex.explorer(t.features, t.results, ex.metric_column("Avg Grid Position", "life"), (1999, 1999), "team")))
+# All groups in all windows; of a group whose columns are means the values are rounded.
+_COUNTED = """total_points total_points_race total_points_sprint qtd_wins qtd_wins_race qtd_wins_sprint qtd_podiums qtd_podiums_race
+    qtd_podiums_sprint qtd_top5 qtd_top5_race qtd_top5_sprint qtd_poles qtd_poles_race qtd_poles_sprint qtd_pole_win qtd_pole_win_race
+    qtd_pole_win_sprint qtd_sessions qtd_finished qtd_race qtd_sprint qtd_sessions_with_points qtd_sessions_with_overtake
+    qtd_sessions_rain""".split()
+_MEANT = """avg_grid avg_grid_race avg_grid_sprint avg_position avg_position_race avg_position_sprint avg_overtakes avg_overtakes_race
+    avg_overtakes_sprint avg_air_temp avg_track_temp avg_humidity avg_pressure avg_wind_speed pct_sessions_rain""".split()
 query("b16_metric_group_columns", sql(f"""
-    SELECT dt_ref, driverid, {', '.join(m + '_last20' for m in GROUPS['Sessions'])} FROM fs_all""", "fs_all"),
-    )(lambda t: t.features.select("dt_ref", "driverid", *[ex.metric_column("Sessions", "last20", i) for i in range(len(GROUPS["Sessions"]))]))
+    SELECT dt_ref, driverid, {', '.join([f'{m}_{k}' for k in ('life', 'last10', 'last20', 'last40') for m in _COUNTED]
+                                        + [f'round({m}_{k} + 1e-9, 6) AS {m}_{k}' for k in ('life', 'last10', 'last20', 'last40') for m in _MEANT])}
+    FROM fs_all""", "fs_all"),
+    )(lambda t: rounded(t.features.select("dt_ref", "driverid", *[
+        ex.metric_column(g, k, i) for k in WINDOWS for g in GROUPS for i in range(len(GROUPS[g]))])))
 
 
 def _last_sql(tb, key, cols, where):

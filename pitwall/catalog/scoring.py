@@ -153,7 +153,8 @@ JOIN (SELECT model, split, round(AVG(CAST(g.driverid = w.driverid AS INT)) + 1e-
         SELECT * FROM models QUALIFY row_number() OVER (PARTITION BY model, dt_ref ORDER BY p DESC, driverid) = 1) g
       JOIN champions w ON w.year = year(g.dt_ref) GROUP BY ALL) d USING (model, split)""", "models", "champions")
 query("l16_model_metrics", sql("SELECT * FROM model_metrics", "model_metrics"))(lambda t: rounded(model_metrics(t)))
-_WIDE = ", ".join(f"MAX({c}) FILTER (WHERE split = '{s}') AS {c}_{s}" for s in ("test", "oot") for c in ev.HIGHER + ev.LOWER)
+_WIDE = ", ".join(f"MAX({c}) FILTER (WHERE split = '{s}') AS {c}_{s}" for s in ("train", "test", "oot")
+                  for c in ("roc_auc", "pr_auc", "f1", "top1_acc", "log_loss", "brier"))
 step("compared", f"SELECT model, {_WIDE} FROM model_metrics GROUP BY model", "model_metrics")
 query("l16_comparison_table", sql("SELECT * FROM compared", "compared"))(lambda t: rounded(ev.comparison(model_metrics(t))))
 query("l17_best_by_score", sql("SELECT model, pr_auc_oot AS score FROM compared ORDER BY pr_auc_oot DESC, model LIMIT 1", "compared"))(

@@ -230,9 +230,9 @@ LOWER = ("log_loss", "brier")
 
 
 def comparison(metrics: DataFrame, cols=HIGHER + LOWER) -> DataFrame:
-    """One row per model with test and out-of-time columns."""
+    """One row per model with training, test and out-of-time columns."""
     return metrics.groupBy("model").agg(*[
-        F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{c}_{s}") for s in ("test", "oot") for c in cols])
+        F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{c}_{s}") for s in ("train", "test", "oot") for c in cols])
 
 
 def shading(metrics: DataFrame, cols: dict[str, bool]) -> DataFrame:

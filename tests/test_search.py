@@ -197,3 +197,55 @@ def test_tune_finds_the_better_setting(spark):
     assert r["params"] == {"regParam": 0.001} and r["tuned_cv_score"] > r["cv_score"]
     assert len(r["study"].trials) == 8
     assert tr.tune(c, df, features, "y", n_trials=0, n_folds=2)["params"] == {}
+
+
+# -- training as a whole -----------------------------------------------------------------
+SMALL = dict(LogisticRegression={"maxIter": 20}, GradientBoosting={"maxIter": 12, "minInstancesPerNode": 5, "stepSize": 0.3},
+             BalancedRandomForest={"numTrees": 8, "maxDepth": 4})
+
+
+def auc(pairs):
+    pos, neg = [p for y, p in pairs if y], [p for y, p in pairs if not y]
+    return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def average_precision(pairs):
+    pos = [p for y, p in pairs if y]
+    return mean(sum(y for y, q in pairs if q >= p) / sum(q >= p for _, q in pairs) for p in pos)
+
+
+@pytest.mark.parametrize("name", ["constructor", "departure"])
+def test_training_of_the_other_targets(spark, monkeypatch, name):
+    """All three candidates, the early stop of boosting, a search each, and every score computed again."""
+    task = tr.TASKS[name]
+    df = rows(spark, 2400, 0.2, 7).withColumns({task.key: F.pmod(F.xxhash64("a"), F.lit(40)).cast("long"), task.target: F.col("y")})
+    features = ["a", "b", "c", "d"]
+    small = tr.Task(task.target, task.key, features, "roc_auc", task.drop_last, [1997], task.early_stop, task.overrides)
+    stops, fitted = [], tr.fit
+
+    def seen(c, df, features, target, params=None, stop_on=None):
+        stops.append((c.name, stop_on))
+        return fitted(c, df, features, target, {**(params or {}), **SMALL.get(c.name, {})}, stop_on)
+
+    monkeypatch.setattr(tr, "fit", seen)
+    monkeypatch.setattr(tr, "tune", lambda c, *a, **k: {"cv_score": 0.5, "cv_std": 0.0, "params": {}, "tuned_cv_score": 0.5})
+    out = tr.train(df, small, tr.candidates(**SMALL))
+    assert not out.skipped and set(out.models) == set(SMALL)
+    assert ("GradientBoosting", "is_val" if task.early_stop else None) in stops
+    if task.early_stop:
+        trees = out.models["GradientBoosting"].stages[-1].getNumTrees
+        assert 1 <= trees <= 12
+    got = {(r["model"], r["split"]): r for r in out.metrics.collect()}
+    parts = ev.split(df.select("dt_ref", task.key, task.target, *features), task.target, [1997], task.drop_last).cache()
+    for model, fit in out.models.items():
+        scored = tr.score(fit, parts, features).select("split", task.target, "prob").collect()
+        for split in ("train", "test", "oot"):
+            pairs = [(r[1], r["prob"]) for r in scored if r["split"] == split]
+            row = got[model, split]
+            assert row["n_samples"] == len(pairs) and math.isclose(row["roc_auc"], auc(pairs), abs_tol=1e-9)
+            assert math.isclose(row["pr_auc"], average_precision(pairs), abs_tol=1e-9)
+            assert math.isclose(row["brier"], mean((p - y) ** 2 for y, p in pairs), abs_tol=1e-9)
+    table = {r["model"]: r for r in out.comparison.collect()}
+    assert all(table[m]["roc_auc_train"] == got[m, "train"]["roc_auc"] for m in table)
+    assert out.best == max(table, key=lambda m: (table[m]["roc_auc_oot"], [-ord(x) for x in m]))
+    parts.unpersist()
