@@ -399,7 +399,7 @@ def _kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, long_group: int = 2000,
-                   part_bytes: int = 1 << 20, common_least: int = 50) -> DataFrame:
+                   part_bytes: int = 1 << 20, common_least: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and the kept bytes of every row."""
     if not GRAM <= length <= 250:
         raise ValueError(f"length is {GRAM} to 250")
