@@ -36,7 +36,7 @@ _encoders: dict[tuple[str, str], "Encoder"] = {}
 class Encoder:
     """``kind`` is "byte" for a byte-level vocabulary that keeps white space, "word" for one that drops it."""
 
-    MAX_WORDS = 200_000
+    MAX_WORDS = 400_000  # half of them young, half of them old; a slice's own come on top
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -45,6 +45,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._fine, self._coarse, self._lower = _FINE[kind], _COARSE[kind], kind == "word"
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         # How words that are encoded together are told apart again.
         self._glue = " " if self._lower else "\n"
         self._feed = self._tok.encode("\n", add_special_tokens=False).ids[:1]
@@ -54,10 +55,12 @@ class Encoder:
 
     def _learn(self, fine: list[list[str]], coarse: list[list[str]]) -> None:
         plain, odd = set().union(*fine), set().union(*coarse)
+        if 2 * len(self._known) > self.MAX_WORDS:  # what has not been met since the last time is forgotten
+            self._known, self._old = {}, self._known
         new = plain.difference(self._known), odd.difference(self._known)
-        if len(self._known) + len(new[0]) + len(new[1]) > self.MAX_WORDS:
-            self._known.clear()
-            new = plain, odd
+        for w in (new[0] | new[1]).intersection(self._old):
+            self._known[w] = self._old[w]
+        new = new[0].difference(self._known), new[1].difference(self._known)
         spaces = {w for w in new[0] if w.isspace()}
         self._each(list(new[1] | spaces))
         words = list(new[0] - spaces)
