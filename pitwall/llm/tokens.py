@@ -36,7 +36,8 @@ _encoders: dict[tuple[str, str], "Encoder"] = {}
 class Encoder:
     """``kind`` is "byte" for a byte-level vocabulary that keeps white space, "word" for one that drops it."""
 
-    MAX_WORDS = 400_000  # half of them young, half of them old; a slice's own come on top
+    # Half of them young, half of them old; a slice's own come on top. Some 150 bytes each.
+    MAX_WORDS = {"byte": 800_000, "word": 300_000}
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -44,6 +45,7 @@ class Encoder:
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._fine, self._coarse, self._lower = _FINE[kind], _COARSE[kind], kind == "word"
+        self.MAX_WORDS = self.MAX_WORDS[kind]
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         # How words that are encoded together are told apart again.
