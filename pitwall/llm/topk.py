@@ -203,9 +203,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int = 5
     asked = stored(_blocks(queries, width, query_block), "asked").select(
         F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
-    numbered = blocks.select("block", "high", "low", F.row_number().over(W.orderBy("block")).alias("i"))  # one row per block
-    summaries = stored(numbered.groupBy(F.floor((F.col("i") - 1) / group).cast("int").alias("group")).agg(
-        F.collect_list(F.struct("block", "high", "low")).alias("of")), "summaries")
+    # blocks are numbered part by part; only the groups' two numbers, one row for ``group`` blocks, are put in one order
+    place = F.shiftright("block", 32).alias("part"), F.floor(F.col("block").bitwiseAND((1 << 32) - 1) / group).alias("place")
+    grouped = stored(blocks.groupBy(*place).agg(F.collect_list(F.struct("block", "high", "low")).alias("of")), "groups")
+    numbered = grouped.select("part", "place", (F.row_number().over(W.orderBy("part", "place")) - 1).alias("group"))
+    summaries = stored(grouped.join(numbered, ["part", "place"]).select("group", "of"), "summaries")
 
     open_ = asked.withColumn("floor", F.lit(None).cast("binary"))
     first = W.partitionBy("qb").orderBy(F.desc("total"), "block")
