@@ -102,6 +102,60 @@ def test_resampling(spark):
     assert quality.resample(docs.limit(0), labels)[0].count() == 0
 
 
+def grams_of(text):
+    w = re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text.encode().lower())
+    pairs = [("repeat",) if 0 < i and w[i - 1] == w[i] == w[i + 1] else ("pair", w[i], w[i + 1]) for i in range(len(w) - 1)]
+    return {("word", x) for x in w} | {("first", x[:4]) for x in w} | set(pairs)
+
+
+@pytest.mark.parametrize("part", [1 << 12, 1 << 22])
+def test_weights_by_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(quality, "PART", part)
+    rng = random.Random(6)
+    words = ["Wort", "wörter", "a,b", "so", "So", "x!", "1 1 1 1", "'", "é", "end."]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12))) + " vile x!" * (i % 3 > 0)) for i in range(200)] + [(200, None), (201, ""), (None, "so so so so")]
+    good = {i for i in range(0, 200, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(0, 150)], "doc_id long, quality int, toxic int")
+    raw, target, z = {}, {}, 1.0
+    for i, t in rows:
+        for g in grams_of(t or ""):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i is not None and i < 150 and i in good)
+    share = sum(i < 150 for i in good) / len(rows)
+    ratio = {g: min(0, np.log((target[g] + z * z / 2 + z * np.sqrt(target[g] + z * z / 4)) / (raw[g] * share))) for g in raw}
+    size = quality.table_size(docs, 4)
+    got = quality.log_weights(docs, quality.ratio_table(docs, labels, size, z=z), size, "weight").collect()
+    assert len(got) == len(rows)
+    text = {i: t for i, t in rows}
+    assert min(r["weight"] for r in got) < -1
+    for r in got:
+        assert r["weight"] == pytest.approx(sum(ratio[g] for g in grams_of(text[r["doc_id"]] or "")), abs=1e-4)
+
+
+def test_draw_of_k(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["good", "fine", "well"], k=9)) + (" vile" if i % 2 else "") + f" {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(0, 600)], "doc_id long, quality int, toxic int")
+
+    def draw(seed, temperature, k=200):
+        return {r["doc_id"] for r in quality.resample(docs, labels, seed=seed, temperature=temperature, k=k)[0].collect()}
+
+    one, again, other = draw(1, 1.0), draw(1, 1.0), draw(2, 1.0)
+    assert one == again != other and len(one) == len(other) == 200
+    assert sum(i % 2 for i in one) < 40  # the bad half weighs less
+    assert 60 < sum(i % 2 for i in draw(1, 1e3)) < 140  # all alike at a high temperature
+    assert len(draw(1, 1.0, 10_000)) == 600 and draw(1, 1.0, 0) == set()
+
+
+def test_table_size(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "repeat('x', 1000000) AS text")
+    assert quality.table_size(docs, 4) == 1 << quality.LEAST_BITS
+    assert quality.table_size(docs, 400) == 1 << 20
+    assert quality.table_size(docs.limit(0), 4) == 1 << quality.LEAST_BITS
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.normal(0, 1, 30_000), np.full(20_000, 0.25), rng.normal(1e6, 1, 5)])
