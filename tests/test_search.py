@@ -1,5 +1,6 @@
 """The search over settings, balanced forests and folds."""
 
+import datetime as dt
 import math
 import random
 import threading
@@ -249,3 +250,15 @@ def test_training_of_the_other_targets(spark, monkeypatch, name):
     assert all(table[m]["roc_auc_train"] == got[m, "train"]["roc_auc"] for m in table)
     assert out.best == max(table, key=lambda m: (table[m]["roc_auc_oot"], [-ord(x) for x in m]))
     parts.unpersist()
+
+
+@pytest.mark.parametrize("name", ["LogisticRegression", "BalancedRandomForest"])
+def test_folds_are_scored_in_a_session_that_has_observed_a_write(spark, tmp_path, name):
+    """The session of a training summary cannot be sent to tasks once it has observed a write."""
+    from pitwall.sources.sessions import write_layer
+    rows = [(dt.date(1996 + i % 4, 1 + i % 12, 1), (i // 5) % 2, (i * 37 % 101) / 100 + 0.3 * ((i // 5) % 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "dt_ref date, y int, x double")
+    write_layer(df, str(tmp_path / "layer"))
+    c = tr.candidates(BalancedRandomForest={"numTrees": 3, "maxDepth": 2})[name]
+    scores = tr.cross_validate(c, df, ["x"], "y", n_folds=2)
+    assert len(scores) == 2 and all(0 < s <= 1 for s in scores)
