@@ -21,9 +21,9 @@ _TEST = f"(SELECT MAX(y) FROM class_years WHERE k = 2 AND y < {_OOT})"
 query("l1_two_class_year", sql(f"SELECT {_OOT} AS oot_year, {_TEST} AS test_year", "class_years"))(
     lambda t: (lambda a: a.agg(F.lit(ev.two_class_year(a, LABEL)).cast("bigint").alias("oot_year"), F.lit(
         ev.two_class_year(a.where(F.year("dt_ref") < ev.two_class_year(a, LABEL)), LABEL)).cast("bigint").alias("test_year")).limit(1))(
-        t.abt_champions_inseason.select("dt_ref", LABEL)))
+        t.only("abt_champions_inseason", "dt_ref", LABEL)))
 query("g17_two_classes_by_year", sql("SELECT y AS year, k AS classes FROM class_years", "class_years"))(
-    lambda t: t.abt_champions_inseason.groupBy(F.year("dt_ref").cast("bigint").alias("year")).agg(F.countDistinct(LABEL).alias("classes")))
+    lambda t: t.only("abt_champions_inseason", "dt_ref", LABEL).groupBy(F.year("dt_ref").cast("bigint").alias("year")).agg(F.countDistinct(LABEL).alias("classes")))
 step("dates_back", """
 SELECT dt_ref, year(dt_ref) AS y, row_number() OVER (PARTITION BY year(dt_ref) ORDER BY dt_ref DESC) - 1 AS recency
 FROM (SELECT DISTINCT dt_ref FROM t3)""", "t3")
@@ -31,37 +31,37 @@ _SPLIT = f"""
     SELECT t3.dt_ref, driverid, CASE WHEN y = {_OOT} THEN 'oot' WHEN y = {_TEST} THEN 'test' ELSE 'train' END AS split
     FROM t3 JOIN dates_back USING (dt_ref) WHERE y <= {_OOT}"""
 query("l2_split_late_removed", sql(_SPLIT + f" AND (y >= {_TEST} OR recency > 4)", "t3", "dates_back", "class_years"))(
-    lambda t: ev.split(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL), LABEL).select("dt_ref", "driverid", "split"))
+    lambda t: ev.split(t.only("abt_champions_inseason", "dt_ref", "driverid", LABEL), LABEL).select("dt_ref", "driverid", "split"))
 query("l2_split_all_rounds", sql(_SPLIT, "t3", "dates_back", "class_years"))(
-    lambda t: ev.split(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL), LABEL, drop_last=0).select("dt_ref", "driverid", "split"))
+    lambda t: ev.split(t.only("abt_champions_inseason", "dt_ref", "driverid", LABEL), LABEL, drop_last=0).select("dt_ref", "driverid", "split"))
 query("l2_split_given_years", sql(f"""
     SELECT dt_ref, driverid, CASE WHEN year(dt_ref) IN (1999, 2001) THEN 'oot' WHEN year(dt_ref) = 1998 THEN 'test' ELSE 'train' END AS split
     FROM t3 WHERE year(dt_ref) <> 2000""", "t3"))(
-    lambda t: ev.split(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL), LABEL, [1999, 2001], 0).select("dt_ref", "driverid", "split"))
+    lambda t: ev.split(t.only("abt_champions_inseason", "dt_ref", "driverid", LABEL), LABEL, [1999, 2001], 0).select("dt_ref", "driverid", "split"))
 query("w15_date_recency", sql("SELECT y AS year, dt_ref, recency FROM dates_back", "dates_back"))(
-    lambda t: ev.recency(t.abt_champions_inseason).select(F.col("year").cast("bigint").alias("year"), "dt_ref", F.col("recency").cast("bigint").alias("recency")))
+    lambda t: ev.recency(t.only("abt_champions_inseason", "dt_ref")).select(F.col("year").cast("bigint").alias("year"), "dt_ref", F.col("recency").cast("bigint").alias("recency")))
 query("j21_kept_rounds", sql("SELECT t3.dt_ref, driverid FROM t3 JOIN dates_back USING (dt_ref) WHERE recency > 4", "t3", "dates_back"))(
-    lambda t: t.abt_champions_inseason.select("dt_ref", "driverid").join(
-        ex.small(ev.recency(t.abt_champions_inseason).where("recency > 4").select("dt_ref")), "dt_ref", "left_semi"))
+    lambda t: t.only("abt_champions_inseason", "dt_ref", "driverid").join(
+        ex.small(ev.recency(t.only("abt_champions_inseason", "dt_ref", "driverid")).where("recency > 4").select("dt_ref")), "dt_ref", "left_semi"))
 query("l3_expanding_folds", sql("""
     WITH ys AS (SELECT DISTINCT year(dt_ref) AS y FROM t3),
          f AS (SELECT y AS val_year, row_number() OVER (ORDER BY y) - 1 AS fold FROM (SELECT y FROM ys ORDER BY y DESC LIMIT 4))
     SELECT CAST(fold AS INT) AS fold, CASE WHEN year(dt_ref) = val_year THEN 'validation' ELSE 'train' END AS role, COUNT(*) AS n
     FROM t3 JOIN f ON year(dt_ref) <= val_year GROUP BY ALL""", "t3"))(
-    lambda t: ev.folds(t.abt_champions_inseason.select("dt_ref"), 4).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")))
+    lambda t: ev.folds(t.only("abt_champions_inseason", "dt_ref"), 4).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")))
 query("l9_class_weights", sql("""
     SELECT dt_ref, driverid, round(COUNT(*) OVER () / (2.0 * COUNT(*) OVER (PARTITION BY fl_champion)) + 1e-9, 6) AS weight FROM t3""", "t3"))(
-    lambda t: rounded(ev.with_class_weight(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL), LABEL).select("dt_ref", "driverid", "weight")))
+    lambda t: rounded(ev.with_class_weight(t.only("abt_champions_inseason", "dt_ref", "driverid", LABEL), LABEL).select("dt_ref", "driverid", "weight")))
 query("g16_class_balance", sql("""
     SELECT CAST(SUM(fl_champion) AS BIGINT) AS n_pos, CAST(SUM(1 - fl_champion) AS BIGINT) AS n_neg,
            round(SUM(1 - fl_champion) / CAST(SUM(fl_champion) AS DOUBLE) + 1e-9, 6) AS ratio, round(AVG(fl_champion) + 1e-9, 6) AS rate FROM t3""", "t3"))(
-    lambda t: rounded(ev.class_balance(t.abt_champions_inseason, LABEL)))
+    lambda t: rounded(ev.class_balance(t.only("abt_champions_inseason", "dt_ref", LABEL), LABEL)))
 query("l24_grouped_holdout", sql("""
     WITH g AS (SELECT driverid, year(dt_ref) AS season, MAX(fl_champion) AS c FROM t3 GROUP BY ALL)
     SELECT dt_ref, t3.driverid, CASE WHEN CAST('0x' || substr(md5(t3.driverid || '|' || season || '|' || c), 1, 8) AS BIGINT) % 1000 < 200
            THEN 'test' ELSE 'train' END AS split
     FROM t3 JOIN g ON g.driverid = t3.driverid AND g.season = year(dt_ref)""", "t3"))(
-    lambda t: ev.grouped_holdout(t.abt_champions_inseason.select("dt_ref", "driverid", LABEL, F.year("dt_ref").alias("season")),
+    lambda t: ev.grouped_holdout(t.only("abt_champions_inseason", "dt_ref", "driverid", LABEL).withColumn("season", F.year("dt_ref")),
                                  LABEL, ["driverid", "season"]).select("dt_ref", "driverid", "split"))
 # Metrics by name, as the selector must leave them: no sprint metric but four, two windows.
 _SCOPED = "wins podiums top5 grid_top5 poles pole_win sessions_with_points sessions_with_overtake".split()
@@ -129,7 +129,7 @@ SELECT '{m}' AS model, CASE year(dt_ref) WHEN 2000 THEN 'oot' WHEN 1999 THEN 'te
 
 def models(t):
     def build():
-        base = t.abt_champions_inseason.where(F.year("dt_ref") <= 2000)
+        base = t.only("abt_champions_inseason", "dt_ref", "driverid", "standing_position", LABEL).where(F.year("dt_ref") <= 2000)
         kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.expr(_P.format(k=k)).alias("p")) for m, k in MODELS.items()]))
         return base.withColumn("x", kinds).select(
             F.col("x.m").alias("model"), F.expr("CASE year(dt_ref) WHEN 2000 THEN 'oot' WHEN 1999 THEN 'test' ELSE 'train' END").alias("split"),

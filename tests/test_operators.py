@@ -225,3 +225,36 @@ def test_feature_selector_drops_long_windows_and_weak_sprint_columns():
     from pitwall.plans.training import feature_columns
     cols = ["dt_ref", "driverid", "qtd_wins_last20", "avg_grid_sprint_life", "qtd_wins_sprint_life", "qtd_wins_life"]
     assert feature_columns(cols) == ["qtd_wins_sprint_life", "qtd_wins_life"]
+
+
+def test_some_columns_of_a_layer_are_those_of_the_whole(spark, bed):
+    """Worked out alone, without the whole layer, and joined with another store."""
+    from pitwall.operators.features import WINDOWS, driver_window
+    keys, wanted = ["dt_ref", "driverid"], ["qtd_seasons_life", "qtd_wins_last10", "avg_position_last40", "avg_air_temp_last20"]
+    some = feature_store(bed.results, WINDOWS, columns=wanted)
+    assert sorted(some.columns) == sorted(keys + wanted)
+    whole = feature_store(bed.results, WINDOWS).select(*keys, *wanted)
+    assert some.count() == whole.count() > 0
+    assert some.select(*keys, *wanted).exceptAll(whole).count() == 0
+    joined = driver_window(bed.results, None, "life").select(*keys, "qtd_wins_life").join(some, keys)
+    assert joined.count() == some.count()
+
+
+def test_narrow_base_tables_leave_the_wide_ones_unbuilt(spark, tmp_path):
+    """Base tables of few columns: the same rows, and neither the wide features nor the wide table is written."""
+    import os
+    from pitwall.sources.testbed import Testbed
+    folder = tmp_path / "tables"
+    os.symlink("/root/testdata/sf0.001", folder)
+    t = Testbed(spark, str(folder))
+    asked = {"abt_champions_inseason": ["dt_ref", "driverid", "fl_champion", "pct_leader_x_wins"],
+             "abt_teams_inseason": ["dt_ref", "teamid", "sum_points_last10"],
+             "abt_departures_inseason": ["dt_ref", "driverid", "fl_departed", "seasons_since_last_win", "trend_win_rate"],
+             "abt_champions": ["dt_ref", "driverid", "fl_champion"], "abt_teams": ["dt_ref", "teamid", "avg_wins_life"],
+             "abt_departures": ["dt_ref", "driverid", "fl_departed"]}
+    narrow = {name: t.only(name, *cols) for name, cols in asked.items()}
+    assert not any(t.lake.has(name) for name in ("features", *asked))
+    for name, cols in asked.items():
+        whole = getattr(t, name).select(*cols)
+        assert narrow[name].count() == whole.count() > 0
+        assert narrow[name].exceptAll(whole).count() == 0
