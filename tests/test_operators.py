@@ -258,3 +258,15 @@ def test_narrow_base_tables_leave_the_wide_ones_unbuilt(spark, tmp_path):
         whole = getattr(t, name).select(*cols)
         assert narrow[name].count() == whole.count() > 0
         assert narrow[name].exceptAll(whole).count() == 0
+
+
+@pytest.mark.parametrize("columns", [None, ["qtd_seasons_life", "qtd_wins_last10", "avg_position_last40"], ["total_points_last20"]])
+@pytest.mark.parametrize("carried", [False, True])
+def test_running_sums_read_what_the_shuffle_hands_over(spark, bed, columns, carried):
+    """Nothing rebuilds the wide rows between the shuffle by entrant and the running sums."""
+    from pitwall.operators.features import career_sums
+    career = career_sums(bed.results.where("year = 1997")).drop("year") if carried else None
+    store = feature_store(bed.results.where("year >= 1998") if carried else bed.results, career=career, columns=columns)
+    plan = [line.lstrip(" :+-") for line in store._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    at = next(i for i, line in enumerate(plan) if line.startswith("Window [sum(v_"))
+    assert plan[at + 1].startswith("RepartitionByExpression"), plan[at + 1][:200]
