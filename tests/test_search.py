@@ -200,6 +200,21 @@ def test_tune_finds_the_better_setting(spark):
     assert tr.tune(c, df, features, "y", n_trials=0, n_folds=2)["params"] == {}
 
 
+def test_folds_have_the_parts_their_rows_ask_for(spark, monkeypatch):
+    """Small folds of a table in many parts are few parts, large ones keep them; no row is lost."""
+    df, features = rows(spark, 3000, 0.2).repartition(12), ["a", "b", "c", "d"]
+    per = {r[0]: r[1] for r in df.groupBy(F.year("dt_ref")).count().collect()}
+    for values, check in ((4 * 3000, lambda n: n == 1), (4 * 500, lambda n: 1 < n < 12), (4 * 10, lambda n: n == 12)):
+        monkeypatch.setattr(tr, "PART_VALUES", values, raising=False)
+        for name in ("LogisticRegression", "BalancedRandomForest"):
+            with tr.Folds(tr.CANDIDATES[name], df, features, "y", 3) as folds:
+                for year, f in zip((1995, 1996, 1997), folds.folds):
+                    assert check(f.train.rdd.getNumPartitions()) and f.validation.rdd.getNumPartitions() <= f.train.rdd.getNumPartitions()
+                    assert f.validation.count() == per[year]
+                    if name == "LogisticRegression":
+                        assert f.train.count() == sum(n for y, n in per.items() if y < year)
+
+
 # -- training as a whole -----------------------------------------------------------------
 SMALL = dict(LogisticRegression={"maxIter": 20}, GradientBoosting={"maxIter": 12, "minInstancesPerNode": 5, "stepSize": 0.3},
              BalancedRandomForest={"numTrees": 8, "maxDepth": 4})
