@@ -9,6 +9,7 @@ from pitwall.catalog.explore import guesses
 from pitwall.catalog.oracle import sql, step
 from pitwall.functions.scalars import risk_tier
 from pitwall.operators import evaluation as ev
+from pitwall.operators.features import FEATURE_COLUMNS
 from pitwall.plans import explore as ex, training
 
 LABEL = "fl_champion"
@@ -75,8 +76,8 @@ _INPUTS = [
 _CHOSEN = [f"{n}_{w}" for w in ("life", "last10") for n in _INPUTS]
 query("b14_feature_selector", sql(f"""
     SELECT dt_ref, driverid, {", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 6) AS {c}" for c in _CHOSEN)} FROM t1""", "t1"))(
-    lambda t: rounded(t.abt_champions.select("dt_ref", "driverid", *[
-        F.col(c).cast("double").alias(c) for c in training.feature_columns(t.abt_champions.columns)])))
+    lambda t: (lambda chosen: rounded(t.only("abt_champions", "dt_ref", "driverid", *chosen).select("dt_ref", "driverid", *[
+        F.col(c).cast("double").alias(c) for c in chosen])))(training.feature_columns(["dt_ref", "driverid", *FEATURE_COLUMNS, LABEL])))
 
 
 # -- metrics on labelled documents ----------------------------------------------

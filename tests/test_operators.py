@@ -260,6 +260,20 @@ def test_narrow_base_tables_leave_the_wide_ones_unbuilt(spark, tmp_path):
         assert narrow[name].exceptAll(whole).count() == 0
 
 
+def test_queries_of_few_columns_leave_the_wide_layers_unbuilt(spark, tmp_path):
+    import os
+    from pitwall.catalog import QUERIES, load_all
+    from pitwall.sources.testbed import Testbed
+    load_all()
+    folder = tmp_path / "tables"
+    os.symlink("/root/testdata/sf0.001", folder)
+    for name in ("b14_feature_selector", "q20_departed_trends", "b16_metric_group_columns", "q17_team_interactions", "q10_latest_top5",
+                 "s10_abt_with_clinch", "q11_positive_sample", "w1_latest_per_key", "q16_team_standings_by_race"):
+        QUERIES[name](spark, str(folder)).schema
+    lake = Testbed(spark, str(folder)).lake
+    assert not any(lake.has(n) for n in ("features", "abt_champions", "abt_teams_inseason", "abt_departures"))
+
+
 @pytest.mark.parametrize("columns", [None, ["qtd_seasons_life", "qtd_wins_last10", "avg_position_last40"], ["total_points_last20"]])
 @pytest.mark.parametrize("carried", [False, True])
 def test_running_sums_read_what_the_shuffle_hands_over(spark, bed, columns, carried):
