@@ -274,6 +274,45 @@ def test_queries_of_few_columns_leave_the_wide_layers_unbuilt(spark, tmp_path):
     assert not any(lake.has(n) for n in ("features", "abt_champions", "abt_teams_inseason", "abt_departures"))
 
 
+def test_an_entrants_rows_meet_in_parts_of_any_size(spark, bed):
+    """Sessions in many parts, the dates asked for in few: every entrant's rows still come together."""
+    wanted = ["qtd_seasons_life", "qtd_wins_last10", "avg_position_last40"]
+    whole = [tuple(r) for r in feature_store(bed.results, columns=wanted).collect()]
+    parts = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "30k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in parts}
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        dealt = [tuple(r) for r in feature_store(bed.results, columns=wanted).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(whole) > 0 and sorted(whole, key=str) == sorted(dealt, key=str)
+
+
+def test_the_last_entrant_of_a_batch_goes_on_in_the_next():
+    """Batches of any size and entrants of any length: the same changes; a date asked for twice has two rows."""
+    import datetime as dt
+    import pyarrow as pa
+    from pitwall.operators.features import _changes
+    day = [dt.date(1998, 12, 1) + dt.timedelta(days=i) for i in range(60)]
+    schema = pa.schema([("e", pa.int64()), ("year", pa.int32()), ("dates", pa.list_(pa.date32())), ("c_qtd_sessions", pa.int64()),
+                        ("marks", pa.list_(pa.struct([("at", pa.date32()), ("w_a", pa.int32())])))])
+    rows = [{"e": e, "year": day[i].year, "c_qtd_sessions": 1 + i % 2, "marks": [{"at": day[i + 1], "w_a": 1}, {"at": day[i + 9], "w_a": -1}]}
+            for e in (1, None, 3) for i in range(0, 50, e or 7)]
+    rows = [x for e in (1, None, 3) for x in [*[r for r in rows if r["e"] == e], {"e": e, "dates": [day[20], day[20], *day[40:45]]}]]
+    table, run = pa.Table.from_pylist(rows, schema), _changes("e", {"a": ["c_qtd_sessions"]}, ["a"])
+    whole = pa.Table.from_batches(run(iter(table.to_batches()))).to_pylist()
+    for size in (1, 5, 51):
+        assert pa.Table.from_batches(run(iter(table.to_batches(max_chunksize=size)))).to_pylist() == whole
+    first = [r for r in whole if r["e"] == 1]
+    assert [(r["at"], r["is_row"]) for r in first[:3]] == [(day[20], 1), (day[20], 2), (day[40], 1)]
+    inside = [sum(1 + i % 2 for i in range(50) if i + 1 <= d < i + 9) for d in (20, 40)]
+    assert first[0]["v_a_c_qtd_sessions"] == inside[0] and first[1]["v_a_c_qtd_sessions"] == 0
+    assert sum(r["v_a_c_qtd_sessions"] for r in first[:3]) == inside[1]
+
+
 @pytest.mark.parametrize("columns", [None, ["qtd_seasons_life", "qtd_wins_last10", "avg_position_last40"], ["total_points_last20"]])
 @pytest.mark.parametrize("carried", [False, True])
 def test_running_sums_read_what_the_shuffle_hands_over(spark, bed, columns, carried):
