@@ -206,7 +206,8 @@ query("j11_features_to_roster", sql("""
     JOIN (SELECT DISTINCT driverid, event_date, teamid FROM scored) r
       ON r.driverid = f.driverid AND r.event_date = f.dt_ref""", "fs_all", "scored"),
     )(lambda t: t.only("features", "dt_ref", "driverid", "qtd_wins_life").join(
-        career.current_team(t.results), ["dt_ref", "driverid"]))
+        # files of three columns are so small that Spark would send millions of rows through the driver
+        career.current_team(t.results).hint("merge"), ["dt_ref", "driverid"]))
 query("g9_team_rollup", sql(
     f"SELECT dt_ref, teamid, sum_wins_last10, sum_points_last10, {rr(['avg_position_last10', 'avg_grid_last10'])}, num_drivers FROM t4", "t4"),
     )(lambda t: rounded(t.only("abt_teams_inseason",

@@ -260,6 +260,14 @@ def test_narrow_base_tables_leave_the_wide_ones_unbuilt(spark, tmp_path):
         assert narrow[name].exceptAll(whole).count() == 0
 
 
+def test_features_meet_the_roster_without_a_broadcast(spark):
+    """Three columns compress so well that their files look small enough for the driver at any number of rows."""
+    from pitwall.catalog import QUERIES, load_all
+    load_all()
+    plan = QUERIES["j11_features_to_roster"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_queries_of_few_columns_leave_the_wide_layers_unbuilt(spark, tmp_path):
     import os
     from pitwall.catalog import QUERIES, load_all
